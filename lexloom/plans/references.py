@@ -26,7 +26,9 @@ def body_references(sections: DataFrame) -> DataFrame:
     link = F.when(~F.col("redirect"), F.col("m"))
     rows = rows.withColumn("a", F.regexp_extract(link, r"^([^\s=]+)", 1)).withColumn("v", F.regexp_extract(link, r"""(?s)["'](.*)["']$""", 1))
     rows = with_entry_target(rows, "a", "v", "word")
-    rows = rows.withColumn("target", F.when(F.col("redirect"), F.col("m")).otherwise(F.col("word"))).where("target is not null")
+    target = F.when(F.col("redirect"), F.col("m")).otherwise(F.col("word"))
+    # an explode and no filter: a filter would be pushed below, with all the expressions above written into it again
+    rows = rows.select("section_id", "dict", "index_id", "fetched_at", "redirect", F.explode(F.array_compact(F.array(target))).alias("target"))
     return rows.groupBy("section_id", "dict", "target").agg(F.min("index_id").alias("index_id"), F.min("fetched_at").alias("fetched_at"), F.max("redirect").alias("redirect"))
 
 
