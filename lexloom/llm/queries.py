@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.leaks import find_leaks
 from lexloom.llm.pieces import split_column
 from lexloom.llm.tokens import encode_column
 
@@ -27,3 +28,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces, with their text."""
     return split_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked test items with the number of documents each stands in."""
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
