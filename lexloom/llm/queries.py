@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.normalize import canonical_normalize
+from lexloom.llm.charform import consistent_forms
 from lexloom.llm.leaks import find_leaks
+from lexloom.llm.mojibake import damaged, find_damaged, repaired
 from lexloom.llm.pieces import split_column
 from lexloom.llm.tokens import encode_column
 
@@ -38,3 +41,50 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked test items with the number of documents each stands in."""
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+def index_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = table(spark, sf_dir, "dict_header").groupBy(F.col("dict_id").alias("source")).agg(F.min("lang").alias("lang"))
+    rows = table(spark, sf_dir, "mdx_index").select(F.lit("mdx_index").alias("src"), F.col("id").alias("row_id"), F.col("dict_id").alias("source"), "text")
+    return rows.join(F.broadcast(lang), "source", "left")
+
+
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headwords and bodies as records of one source each."""
+    header = table(spark, sf_dir, "dict_header")
+    lang = header.groupBy(F.col("dict_id").alias("source")).agg(F.min("lang").alias("lang"))
+    titles = header.select(F.lit("dict_header").alias("src"), F.col("header_id").alias("row_id"), F.lit("titles").alias("source"), F.col("title").alias("text"), "lang")
+    bodies = table(spark, sf_dir, "aggregate_section").select(
+        F.lit("aggregate_section").alias("src"), F.col("section_id").alias("row_id"), F.col("dict_id").alias("source"), F.col("body").alias("text")
+    )
+    return index_texts(spark, sf_dir).unionByName(titles).unionByName(bodies.join(F.broadcast(lang), "source", "left"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that were read with an encoding other than the one written."""
+    post, _ = find_damaged(encoded_texts(spark, sf_dir), index_texts(spark, sf_dir))
+    return damaged(post).select("src", "row_id")
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged fields with the chain they went through and the text as originally written, where it can be restored."""
+    records = encoded_texts(spark, sf_dir)
+    post, counts = find_damaged(records, index_texts(spark, sf_dir))
+    bad = damaged(post)
+    return repaired(records.where("text is not null").dropDuplicates(["src", "row_id"]).join(bad, ["src", "row_id"]), counts)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headwords and normalised headwords of text dictionaries that are not in the consistent form; encoding damage aside."""
+    texts = index_texts(spark, sf_dir)
+    post, _ = find_damaged(texts)
+    kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select("dict_id").distinct()
+    rows = table(spark, sf_dir, "mdx_index").join(F.broadcast(kinds), "dict_id", "left_semi").select("id", "text", "normalized")
+    rows = rows.join(damaged(post).select(F.col("row_id").alias("id")), "id", "left_anti")
+    forms = consistent_forms(rows)
+    rows = rows.join(forms, "text", "left").withColumn("form", F.coalesce("form", "text"))
+    fields = F.array(
+        F.when(F.col("form") != F.col("text"), F.lit("text")),
+        F.when(F.col("normalized") != canonical_normalize("form"), F.lit("normalized")),
+    )
+    return rows.select("id", F.explode(F.array_compact(fields)).alias("field"))
