@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import canonical_normalize
+from lexloom.llm.canonical import map_values
 from lexloom.llm.charform import consistent_forms
 from lexloom.llm.leaks import find_leaks
 from lexloom.llm.mojibake import damaged, find_damaged, repaired
@@ -88,3 +89,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("normalized") != canonical_normalize("form"), F.lit("normalized")),
     )
     return rows.select("id", F.explode(F.array_compact(fields)).alias("field"))
+
+
+def entered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, row_id, value of everything typed, offered or contributed."""
+    contrib = table(spark, sf_dir, "dict_header").where("origin = 'contrib'").select("dict_id").distinct()
+    typed = table(spark, sf_dir, "query_form").select(F.lit("query_form").alias("src"), F.col("query_id").alias("row_id"), F.col("word").alias("value"))
+    offered = table(spark, sf_dir, "fuzzy_suggestion").select(F.lit("fuzzy_suggestion").alias("src"), F.col("suggestion_id").alias("row_id"), F.col("word").alias("value"))
+    headwords = table(spark, sf_dir, "mdx_index").join(F.broadcast(contrib), "dict_id", "left_semi")
+    return typed.unionByName(offered).unionByName(headwords.select(F.lit("mdx_index").alias("src"), F.col("id").alias("row_id"), F.col("text").alias("value")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entered values with the canonical entry they stand for, 0 for none; a form sent again counts once."""
+    got = map_values(entered_values(spark, sf_dir), table(spark, sf_dir, "ref_headword"), "ref_id", "canonical")
+    return got.groupBy("src", "row_id").agg(F.max("ref_id").alias("ref_id"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand for no entry, with the number of rows that have them."""
+    got = p1_found(spark, sf_dir).where("ref_id = 0").select("src", "row_id")
+    values = entered_values(spark, sf_dir).dropDuplicates(["src", "row_id"])
+    return values.join(got, ["src", "row_id"]).groupBy("src", "value").agg(F.count(F.lit(1)).alias("rows"))
