@@ -9,6 +9,7 @@ from lexloom.functions.normalize import canonical_normalize
 from lexloom.llm.canonical import map_values
 from lexloom.llm.charform import consistent_forms
 from lexloom.llm.leaks import find_leaks
+from lexloom.llm.markup import clean_texts, find_markup, labelled_pages, train
 from lexloom.llm.mojibake import damaged, find_damaged, repaired
 from lexloom.llm.pieces import split_column
 from lexloom.llm.tokens import encode_column
@@ -111,3 +112,21 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = p1_found(spark, sf_dir).where("ref_id = 0").select("src", "row_id")
     values = entered_values(spark, sf_dir).dropDuplicates(["src", "row_id"])
     return values.join(got, ["src", "row_id"]).groupBy("src", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = table(spark, sf_dir, "aggregate_section").select(F.lit("aggregate_section").alias("src"), F.col("section_id").alias("row_id"), F.col("body").alias("text"))
+    pages = table(spark, sf_dir, "query_json_payload").select(F.lit("query_json_payload").alias("src"), F.col("payload_id").alias("row_id"), F.col("html").alias("text"))
+    return bodies.unionByName(pages)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup each body and page carries; a row delivered twice counts once."""
+    texts = marked_texts(spark, sf_dir)
+    return find_markup(texts, train(labelled_pages(texts))).distinct()
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies and pages as clean text with their structure kept."""
+    texts = marked_texts(spark, sf_dir)
+    return clean_texts(texts, train(labelled_pages(texts)))
