@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import references
+from lexloom.plans import core, oracles, references
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return {f.__name__: f for f in core.QUERIES} | {
         "p5_found": references.p5_found,
         "p6_found": references.p6_found,
         "p6_report": references.p6_report,
@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
