@@ -10,7 +10,7 @@ from lexloom.llm.canonical import map_values
 from lexloom.llm.charform import consistent_forms
 from lexloom.llm.leaks import find_leaks
 from lexloom.llm.markup import clean_texts, find_markup, labelled_pages, train
-from lexloom.llm.mojibake import damaged, find_damaged, repaired
+from lexloom.llm.mojibake import find_damaged, repaired
 from lexloom.llm.pieces import split_column
 from lexloom.llm.tokens import encode_column
 
@@ -64,25 +64,24 @@ def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that were read with an encoding other than the one written."""
-    post, _ = find_damaged(encoded_texts(spark, sf_dir), index_texts(spark, sf_dir))
-    return damaged(post).select("src", "row_id")
+    bad, _ = find_damaged(encoded_texts(spark, sf_dir), index_texts(spark, sf_dir))
+    return bad.select("src", "row_id")
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged fields with the chain they went through and the text as originally written, where it can be restored."""
     records = encoded_texts(spark, sf_dir)
-    post, counts = find_damaged(records, index_texts(spark, sf_dir))
-    bad = damaged(post)
+    bad, counts = find_damaged(records, index_texts(spark, sf_dir))
     return repaired(records.where("text is not null").dropDuplicates(["src", "row_id"]).join(bad, ["src", "row_id"]), counts)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headwords and normalised headwords of text dictionaries that are not in the consistent form; encoding damage aside."""
     texts = index_texts(spark, sf_dir)
-    post, _ = find_damaged(texts)
+    bad, _ = find_damaged(texts)
     kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select("dict_id").distinct()
     rows = table(spark, sf_dir, "mdx_index").join(F.broadcast(kinds), "dict_id", "left_semi").select("id", "text", "normalized")
-    rows = rows.join(damaged(post).select(F.col("row_id").alias("id")), "id", "left_anti")
+    rows = rows.join(bad.select(F.col("row_id").alias("id")), "id", "left_anti")
     forms = consistent_forms(rows)
     rows = rows.join(forms, "text", "left").withColumn("form", F.coalesce("form", "text"))
     fields = F.array(
