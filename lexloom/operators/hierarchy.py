@@ -124,10 +124,8 @@ def _rank_rest(pdf: pd.DataFrame) -> pd.DataFrame:
     known = arc[order]
     nxt = pdf["next"].fillna(-1).to_numpy().astype(np.int64)
     at = np.searchsorted(known, nxt)
-    to = np.where(nxt < 0, -1, order[np.minimum(at, len(order) - 1)])
-    n, w, end = pdf["n"].to_numpy().copy(), pdf["w"].to_numpy().copy(), arc.copy()
-    # inclusive sums to the end of the list
-    jump = to.copy()
+    jump = np.where(nxt < 0, -1, order[np.minimum(at, len(order) - 1)])
+    n, w, end = pdf["n"].to_numpy().copy(), pdf["w"].to_numpy().copy(), pdf["last"].to_numpy().copy()
     while (jump >= 0).any():
         live = np.flatnonzero(jump >= 0)
         j = jump[live]
@@ -136,25 +134,40 @@ def _rank_rest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def rank_lists(arcs: DataFrame, base: int = BASE) -> DataFrame:
-    """List ranking of arcs(arc, next, w): arc, n and w summed from the arc to the end of its list (inclusive), end = last arc."""
-    lists = arcs.select("arc", "next", "w", F.lit(1).cast("long").alias("n"))
+    """List ranking of arcs(arc, next, w): arc, n and w summed from the arc to the end of its list (inclusive), end = last arc.
+
+    An arc stands for the stretch of arcs it has taken over: w and n are the stretch's sums, last its last arc. A list is done,
+    and leaves the rounds, when its head stands for all of it.
+    """
+    if arcs.count() > base:
+        followers = arcs.where("next is not null").select(F.col("next").alias("arc"), F.lit(False).alias("head"))
+        lists = cut(arcs.join(followers, "arc", "left").withColumn("head", F.coalesce("head", F.lit(True))))
+    else:
+        lists = arcs.withColumn("head", F.lit(False))
+    lists = lists.select("arc", "next", "w", F.lit(1).cast("long").alias("n"), F.col("arc").alias("last"), "head")
     spliced: list[DataFrame] = []
+    done: list[DataFrame] = []
     k = 0
     while (left := lists.count()) > base:
         coin = lambda c, k=k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2))
         takes = lists.where(F.col("next").isNotNull() & (coin(F.col("arc")) == 0) & (coin(F.col("next")) == 1))
         # the successor's own row is needed by exactly one predecessor: a join on unique keys
-        succ = lists.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
+        succ = lists.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"), F.col("n").alias("n2"), F.col("last").alias("last2"))
         merged = cut(takes.join(succ, "next"))
         gone = merged.select(F.col("next").alias("arc"), F.col("arc").alias("before"), F.col("w").alias("bw"), F.col("n").alias("bn"))
         spliced.append(gone)
-        stay = lists.join(merged.select("arc"), "arc", "left_anti").join(gone.select("arc"), "arc", "left_anti")
-        new = merged.select("arc", F.col("next2").alias("next"), (F.col("w") + F.col("w2")).alias("w"), (F.col("n") + F.col("n2")).alias("n"))
-        lists = cut(stay.unionByName(new))
+        stay = lists.join(merged.select("arc").unionByName(gone.select("arc")), "arc", "left_anti")
+        new = merged.select("arc", F.col("next2").alias("next"), (F.col("w") + F.col("w2")).alias("w"), (F.col("n") + F.col("n2")).alias("n"), F.col("last2").alias("last"), "head")
+        both = cut(stay.unionByName(new))
+        finished = F.col("head") & F.col("next").isNull()
+        done.append(both.where(finished).select("arc", "n", "w", F.col("last").alias("end")))
+        lists = both.where(~finished)
         k += 1
         if k > 400:
             raise RuntimeError(f"list ranking does not shrink: {left} arcs left")
     ranked = lists.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_rank_rest, "arc long, n long, w long, end long")
+    for d in done:
+        ranked = ranked.unionByName(d)
     for gone in reversed(spliced):
         # the predecessor's sum covers it and the arcs after it: take the predecessor's own share off
         prev = ranked.select(F.col("arc").alias("before"), "n", "w", "end")

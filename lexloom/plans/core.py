@@ -322,3 +322,27 @@ QUERIES = [
     dict_list, dict_ids, index_stats, index_status, change_set, favorites_upsert, favorites_list, history_top20, debounce_sessions, cache_keys,
     cache_admission, block_prefix_sum, record_locations, inflected_matches,
 ]
+
+
+def container_scan(spark, sf):
+    """The canonical headwords written to container files of both versions, and read back with their bodies."""
+    import os
+    import tempfile
+
+    from lexloom.session import ensure_checkpoint_dir
+    from lexloom.sources.container import ContainerSource, index_rows, read_records, write_container
+
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    os.makedirs(shared, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="containers-", dir=shared)
+    os.chmod(folder, 0o755)
+    rows = table(spark, sf, "ref_headword").orderBy("ref_id").select("canonical").toPandas()["canonical"].tolist()
+    for version, encrypted, encoding in ((1, 0, "UTF-8"), (2, 2, "UTF-16")):
+        write_container(f"{folder}/v{version}.mdx", [(w, f"<b>{w}</b>".encode()) for w in rows], version, encoding, encrypted, block=1000)
+    spark.dataSource.register(ContainerSource)
+    index = index_rows(spark.read.format("lexicon_container").load(folder))
+    got = index.join(read_records(index), ["path", "id"])
+    return got.select(F.regexp_extract("path", r"(v\d)\.mdx$", 1).alias("file"), "id", "text", "normalized", "record_length", F.octet_length("body").alias("bytes"))
+
+
+QUERIES.append(container_scan)

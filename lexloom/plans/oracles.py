@@ -133,4 +133,8 @@ SQL: dict[str, str] = {
      select dict_id, block_offset, dsize, coalesce(sum(dsize) over (partition by dict_id order by block_offset rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from b""",
     "record_locations": """select id, record_offset // 16384 as block_no, record_offset % 16384 as start, least(record_offset % 16384 + record_length, 16384) as stop from mdx_index""",
     "inflected_matches": f"select payload_id, lower({trim('word')}) <> lower({trim('matched')}) as inflected from query_json_payload where word is not null and matched is not null",
+    # a record that crosses the end of its block is clamped to it
+    "container_scan": f"""with r as (select ref_id as id, canonical as text, strlen(canonical) + 7 as n from ref_headword), o as (select *, sum(n) over (order by id) - n as off from r),
+     t as (select *, sum(n) over () as total from o), l as (select id, text, {norm('text')} as normalized, least(n, 1000 - off % 1000)::bigint as record_length from t)
+     select f as file, id, text, normalized, record_length, record_length::int as bytes from l, (values ('v1'), ('v2')) v(f)""",
 }
