@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import canonical_normalize
 from lexloom.llm.canonical import map_values
-from lexloom.llm.charform import consistent_forms
+from lexloom.llm.charform import consistent_forms, is_suspect
 from lexloom.llm.leaks import find_leaks
 from lexloom.llm.markup import clean_texts, find_markup, labelled_pages, train
 from lexloom.llm.mojibake import find_damaged, repaired
 from lexloom.llm.pieces import split_column
 from lexloom.llm.tokens import encode_column
+from lexloom.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +82,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad, _ = find_damaged(texts)
     kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select("dict_id").distinct()
     rows = table(spark, sf_dir, "mdx_index").join(F.broadcast(kinds), "dict_id", "left_semi").select("id", "text", "normalized")
+    # other rows are no case: their text is its own form by its characters, and normalized follows from it
+    open_ = is_suspect(F.col("text")) | (F.col("normalized") != canonical_normalize("text"))
+    rows = cut(rows.where(open_))
     rows = rows.join(bad.select(F.col("row_id").alias("id")), "id", "left_anti")
-    forms = consistent_forms(rows)
-    rows = rows.join(forms, "text", "left").withColumn("form", F.coalesce("form", "text"))
+    rows = rows.join(consistent_forms(rows), "text", "left").withColumn("form", F.coalesce("form", "text"))
     fields = F.array(
         F.when(F.col("form") != F.col("text"), F.lit("text")),
         F.when(F.col("normalized") != canonical_normalize("form"), F.lit("normalized")),
