@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.session import shuffle_width
+
 # Letters of three scripts that look alike, None where a script has no such letter.
 LOOK_ALIKES = [
     # Latin, Cyrillic, Greek
@@ -110,7 +112,8 @@ def consistent_forms(texts: DataFrame) -> DataFrame:
     odd = texts.select("text").where(is_suspect(F.col("text"))).distinct()
     chars, twins = _mapping(odd)
     # one exchange: everything below stays within the text's partition
-    odd = odd.repartition("text")
+    # (a fixed number of partitions: a few bytes of text become many rows, which their size in the exchange does not tell)
+    odd = odd.repartition(shuffle_width(odd.sparkSession), "text")
     points = odd.select("text", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), 0)).alias("pos", "c"))
     points = points.where(~F.col("c").rlike(f"^[{INVISIBLE}]$"))
     points = points.join(F.broadcast(chars), "c", "left").withColumn("d", F.coalesce("d", "c"))

@@ -17,7 +17,14 @@ from lexloom.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; a file too small to be split is spread over the cores, as most of the work is done per row in Python."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name not in FIXED and df.rdd.getNumPartitions() < cores // 2 else df
+
+
+#: Tables of a fixed number of rows.
+FIXED = ("dict_header", "ref_headword", "eval_item")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
