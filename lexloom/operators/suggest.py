@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import ascii_fold, canonical_normalize
@@ -10,6 +10,12 @@ from lexloom.functions.text import fts_tokens, is_fts_admitted, is_fuzzy_candida
 from lexloom.operators.lookup import top_per
 
 
+def _lengths(wanted: DataFrame, n: str) -> Column:
+    """The distinct lengths in use, as a constant array: at most as many as a word is long."""
+    found = sorted(r[0] for r in wanted.select(n).distinct().collect())
+    return F.array(*[F.lit(x) for x in found]).cast("array<int>")
+
+
 def prefix_matches(prefixes: DataFrame, index: DataFrame) -> DataFrame:
     """prefix, dict_id, id, text of rows whose normalized begins with the prefix, texts under 50 characters.
 
@@ -18,9 +24,8 @@ def prefix_matches(prefixes: DataFrame, index: DataFrame) -> DataFrame:
     """
     wanted = prefixes.select("prefix", canonical_normalize("prefix").alias("lo")).where("lo <> ''").distinct()
     wanted = wanted.withColumn("n", F.char_length("lo"))
-    lengths = wanted.select("n").distinct().agg(F.collect_list("n").alias("ns"))
-    rows = index.where("normalized is not null").where(F.char_length("text") < 50).select("dict_id", "id", "text", "normalized").crossJoin(F.broadcast(lengths))
-    rows = rows.select("dict_id", "id", "text", "normalized", F.explode("ns").alias("n")).where(F.char_length("normalized") >= F.col("n"))
+    rows = index.where("normalized is not null").where(F.char_length("text") < 50).select("dict_id", "id", "text", "normalized")
+    rows = rows.select("dict_id", "id", "text", "normalized", F.explode(_lengths(wanted, "n")).alias("n")).where(F.char_length("normalized") >= F.col("n"))
     rows = rows.select("dict_id", "id", "text", F.substring(F.col("normalized"), F.lit(1), F.col("n")).alias("lo"))
     return rows.join(wanted.select("prefix", "lo"), "lo").select("prefix", "dict_id", "id", "text")
 
@@ -58,8 +63,7 @@ def fts_bm25(terms: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.7
     posts = fts_postings(index)
     stats = posts.select("dict_id", "id", "dl").distinct().groupBy("dict_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term", F.lower("term").alias("lo")).distinct().withColumn("len", F.char_length("lo"))
-    lengths = wanted.select("len").distinct().agg(F.collect_list("len").alias("ls"))
-    starts = posts.crossJoin(F.broadcast(lengths)).select("*", F.explode("ls").alias("len")).where(F.char_length("token") >= F.col("len"))
+    starts = posts.select("*", F.explode(_lengths(wanted, "len")).alias("len")).where(F.char_length("token") >= F.col("len"))
     starts = starts.withColumn("lo", F.substring(F.col("token"), F.lit(1), F.col("len")))
     hits = starts.join(wanted.select("term", "lo"), "lo").groupBy("term", "dict_id", "id", "dl").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term", "dict_id").agg(F.count(F.lit(1)).alias("df"))
