@@ -28,8 +28,8 @@ def render_aggregate(sections: DataFrame) -> DataFrame:
     clean = dedup_styles(sections).select("render_id", "ord", F.col("body").alias("_body"), "head")
     s = sections.select("render_id", "word", "ord", "dict_id", "title").join(clean, ["render_id", "ord"])
     piece = F.concat(
-        F.lit('<section class="mdict-section" data-dict-id="'), escape_html("dict_id"), F.lit('"><h2>'), escape_html(F.coalesce("title", F.lit(""))),
-        F.lit("</h2>"), F.coalesce("head", F.lit("")), F.lit('<div class="mdict-dict-body">'), F.coalesce("_body", F.lit("")), F.lit("</div></section>"),
+        F.lit('<section class="dict-section" data-dict-id="'), escape_html("dict_id"), F.lit('"><h2>'), escape_html(F.coalesce("title", F.lit(""))),
+        F.lit("</h2>"), F.coalesce("head", F.lit("")), F.lit('<div class="dict-body">'), F.coalesce("_body", F.lit("")), F.lit("</div></section>"),
     )
     got = s.groupBy("render_id", "word").agg(F.count(F.lit(1)).alias("hit_count"), F.array_sort(F.collect_list(F.struct("ord", piece.alias("p")))).alias("ps"))
     html = F.concat(
