@@ -7,6 +7,8 @@
    their ids says so), which shrinks the lists by a quarter each time with links to one neighbour only; a remainder of at most
    ``base`` arcs is ranked in one task, and the spliced arcs are put back in reverse order.
 5. Positions of the two arcs are the entry and exit of a row; depth is the number of open arcs at its entry.
+6. Paths: rows in the order of their trees' tours, cut into ranges; each range first gets the rows whose intervals are open where
+   it begins, and one sweep with a stack gives every row its path. Nothing is gathered per tree, whatever its size.
 
 Every round is joins and aggregates on arc ids (unique, hence without skew) and is written to the shared checkpoint folder.
 Both bounded remainders (``base``) are constants, never a share of the data.
@@ -18,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.session import cut
 
 BASE = 1 << 16
+#: Most rows of a path in one result row.
+BLOCK = 1024
 
 
 def _peel_rest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,9 +184,9 @@ def rank_lists(arcs: DataFrame, base: int = BASE) -> DataFrame:
 def hierarchy(links: DataFrame, base: int = BASE) -> DataFrame:
     """Full hierarchy of links(child BIGINT, parent BIGINT), ids from 0.
 
-    One row per distinct child: node_id, parent_id, root_id, depth, entry, exit, n_below, on_cycle. root_id is the row at the
-    end (it has no link itself) and depth the number of links to it; rows on a cycle or leading into one have root_id 0 and
-    depth -1. entry and exit are positions in the tour of the root's tree: u is above v iff they share the root and
+    One row per distinct child: node_id, parent_id, root_id, depth, entry, exit, n_below, on_cycle, top_id, level. root_id is the
+    row at the end (it has no link itself) and depth the number of links to it; rows on a cycle or leading into one have root_id 0
+    and depth -1. top_id is the root or else the first row on a cycle, level the number of links to it. entry and exit are positions in the tour of the root's tree: u is above v iff they share the root and
     entry(u) < entry(v) < exit(u). Null ids are no links; of several parents of a child the lowest counts; a row that is its own
     parent is a cycle; an empty table gives no rows.
     """
@@ -216,10 +221,111 @@ def hierarchy(links: DataFrame, base: int = BASE) -> DataFrame:
         (F.col("len") - F.col("up")).alias("exit"),
         F.shiftright(F.col("down") - F.col("up"), 1).cast("long").alias("n_below"),
         F.lit(False).alias("on_cycle"),
+        F.col("top").alias("top_id"),
+        (1 - F.col("w")).cast("long").alias("level"),
     )
     null = F.lit(None).cast("long")
     cycles = links.join(endless, "child").select(
         F.col("child").alias("node_id"), F.col("parent").alias("parent_id"), F.lit(0).cast("long").alias("root_id"),
         F.lit(-1).cast("long").alias("depth"), null.alias("entry"), null.alias("exit"), null.alias("n_below"), F.lit(True).alias("on_cycle"),
+        F.col("child").alias("top_id"), F.lit(0).cast("long").alias("level"),
     )
     return trees.unionByName(cycles)
+
+
+def cycle_order(cycles: DataFrame) -> DataFrame:
+    """child, head, ahead of the rows of cycles(child, parent): the lowest row of its cycle and the number of links to that.
+
+    Doubling: a row knows the lowest of the next 1, 2, 4, ... rows; when no row learns of a lower one, all have seen their cycle.
+    """
+    own = F.struct(F.col("child").alias("head"), F.lit(0).cast("long").alias("ahead"))
+    state = cut(cycles.select("child", F.col("parent").alias("jump"), own.alias("best")))
+    span, moved = 1, state.limit(1).count()
+    while moved:
+        after = F.struct(F.col("best.head").alias("head"), (F.col("best.ahead") + span).alias("ahead"))
+        then = state.select(F.col("child").alias("jump"), F.col("jump").alias("jump2"), after.alias("best2"))
+        lower = (F.col("best2.head") < F.col("best.head")).alias("lower")
+        state = cut(state.join(then, "jump").select("child", F.col("jump2").alias("jump"), F.least("best", "best2").alias("best"), lower))
+        moved, span = state.where("lower").limit(1).count(), span * 2
+    return state.select("child", "best.head", "best.ahead")
+
+
+def _sweep_rows(tree: DataFrame) -> DataFrame:
+    """top, pos, exit, level, node, n_below, endless: the rows of hierarchy() in the order of their trees' tours.
+
+    What all of a tree leads to stands before it, at negative positions: its root, or once around the cycle, with the tree's own
+    row of the cycle last, at -1. Rows at -1 stand for roots and cycle rows themselves.
+    """
+    inner = tree.where(~F.col("on_cycle"))
+    rows = inner.select(F.col("top_id").alias("top"), F.col("entry").alias("pos"), "exit", "level", F.col("node_id").alias("node"), "n_below", (F.col("root_id") == 0).alias("endless"))
+    sizes = cut(inner.groupBy(F.col("top_id").alias("top"), (F.col("root_id") == 0).alias("endless")).agg(F.count(F.lit(1)).alias("below")))
+    end, zero = F.lit((1 << 63) - 1).alias("exit"), F.lit(0).cast("long")
+    roots = sizes.where(~F.col("endless")).select("top", F.lit(-1).cast("long").alias("pos"), end, zero.alias("level"), F.col("top").alias("node"), F.col("below").alias("n_below"), "endless")
+    order = cycle_order(tree.where("on_cycle").select(F.col("node_id").alias("child"), F.col("parent_id").alias("parent")))
+    order = order.join(sizes.where("endless").select(F.col("top").alias("child"), "below"), "child", "left")
+    rings = order.groupBy("head").agg(F.count(F.lit(1)).alias("length"), F.sum(F.coalesce("below", zero) + 1).alias("members"))
+    here = order.join(rings, "head").select("head", F.col("child").alias("top"), F.col("ahead").alias("from"), "length", (F.col("members") - 1).alias("n_below"))
+    there = order.select("head", F.col("child").alias("node"), "ahead")
+    step = F.pmod(F.col("from") - F.col("ahead"), F.col("length"))
+    around = here.join(there, "head").select("top", (-1 - step).alias("pos"), end, zero.alias("level"), "node", "n_below", F.lit(True).alias("endless"))
+    return rows.unionByName(roots).unionByName(around)
+
+
+def paths(tree: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Paths of all rows of hierarchy() and of their roots: node_id, root_id, depth, n_below, part, path.
+
+    path leads from the row itself to its root, both included; from a row on a cycle or leading into one it ends before a row would
+    come again (root_id 0, depth -1). n_below is the number of other rows whose paths hold the row. A path of more than ``block``
+    rows comes in parts of so many, part 0 first. Together the paths are as long as the sum of all depths, which is the result's own size.
+    """
+    rows = cut(_sweep_rows(tree))
+    ordered = rows.repartitionByRange("top", "pos").sortWithinPartitions("top", "pos")
+    ordered = cut(ordered.withColumn("range", F.spark_partition_id()))
+    # first row of each range: as many as there are partitions
+    heads = ordered.groupBy("range").agg(F.min(F.struct("top", "pos")).alias("head"))
+    heads = heads.select(F.col("range").alias("into"), F.col("head.top").alias("top"), F.col("head.pos").alias("at"))
+    opened = ordered.join(F.broadcast(heads), "top").where("pos < at and exit > at")
+    carried = opened.drop("range", "at").withColumnRenamed("into", "range").withColumn("carried", F.lit(True))
+    both = ordered.withColumn("carried", F.lit(False)).unionByName(carried)
+    both = both.repartition("range").sortWithinPartitions("range", "top", "pos").select("range", "top", "pos", "level", "node", "n_below", "endless", "carried")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack, base = None, [], 0
+        out: list[tuple] = []
+        held = 0
+        for b in batches:
+            for rng, top, pos, level, node, below, endless, old in zip(*(c.to_pylist() for c in b.columns)):
+                if (rng, top) != now:
+                    now, stack, base = (rng, top), [], 0
+                if pos < 0:
+                    stack.append(node)
+                    base = len(stack)
+                else:
+                    del stack[base + level - 1 :]
+                    stack.append(node)
+                if old or pos < -1:
+                    continue
+                for part, to in enumerate(range(len(stack), 0, -block)):
+                    path = stack[max(0, to - block) : to][::-1]
+                    out.append((node, 0 if endless else top, -1 if endless else level, below, part, path))
+                    held += len(path)
+                    if held > 1 << 16:
+                        yield _batch(out)
+                        out, held = [], 0
+        if out:
+            yield _batch(out)
+
+    return both.mapInArrow(sweep, "node_id long, root_id long, depth long, n_below long, part int, path array<long>")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    names = ["node_id", "root_id", "depth", "n_below", "part", "path"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def descendants(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node_id, descendant_id, distance of paths(): a row for each row that leads to another, so that no list has to be held."""
+    steps = found.select(F.col("node_id").alias("descendant_id"), "part", F.posexplode("path").alias("at", "node_id"))
+    distance = F.col("part").cast("long") * block + F.col("at")
+    return steps.select("node_id", "descendant_id", distance.alias("distance")).where("distance > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.links import LINK_ATTRIBUTES, redirect_target, with_entry_target
 from lexloom.functions.normalize import canonical_normalize
-from lexloom.operators.hierarchy import hierarchy
+from lexloom.operators.hierarchy import descendants, hierarchy, paths
 from lexloom.operators.orphans import resolve_text_references
 from lexloom.plans.data import table
 from lexloom.session import cut
@@ -74,3 +74,19 @@ def redirect_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redirect_trees(spark, sf_dir).select("node_id", "root_id", "depth")
+
+
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the index with its path, final headword, depth and number of rows redirected to it; see ``paths``."""
+    found = cut(paths(cut(redirect_trees(spark, sf_dir))))
+    ids = table(spark, sf_dir, "mdx_index").where("id is not null").select(F.col("id").cast("long").alias("node_id"))
+    # rows without a link that nothing leads to are their own end
+    alone = ids.join(found.where("part = 0").select("node_id"), "node_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    alone = alone.select("node_id", F.col("node_id").alias("root_id"), zero.alias("depth"), zero.alias("n_below"), F.lit(0).alias("part"), F.array("node_id").alias("path"))
+    return found.unionByName(alone)
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows redirected to a row, over one link or more: node_id, descendant_id, distance. Rows with none (n_below 0 in p5_paths) have no row."""
+    return descendants(paths(cut(redirect_trees(spark, sf_dir))))

@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in core.QUERIES} | {
         "p5_found": references.p5_found,
+        "p5_paths": references.p5_paths,
+        "p5_descendants": references.p5_descendants,
         "p6_found": references.p6_found,
         "p6_report": references.p6_report,
     }
