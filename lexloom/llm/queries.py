@@ -101,6 +101,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.explode(F.array_compact(fields)).alias("field"))
 
 
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the text dictionaries: id, its headword in the consistent form, and the normalisation of that.
+
+    Damage by a wrong encoding is put right first, where it can be.
+    """
+    texts = index_texts(spark, sf_dir)
+    bad, counts = find_damaged(texts)
+    kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select(F.col("dict_id").alias("source")).distinct()
+    rows = cut(texts.join(F.broadcast(kinds), "source", "left_semi").join(bad, ["src", "row_id"], "left"))
+    mended = repaired(rows.where("z is not null"), counts).select("row_id", F.col("restored").alias("text"))
+    rows = rows.where("z is null").select("row_id", "text").unionByName(mended)
+    # other texts are their own form by their characters
+    rows = cut(rows.select(F.col("row_id").alias("id"), "text", F.coalesce(is_suspect(F.col("text")), F.lit(False)).alias("odd")))
+    odd = rows.where("odd")
+    formed = odd.join(consistent_forms(odd), "text", "left").select("id", F.coalesce("form", "text").alias("text"))
+    return rows.where("not odd").select("id", "text").unionByName(formed).withColumn("normalized", canonical_normalize("text"))
+
+
 def entered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, row_id, value of everything typed, offered or contributed."""
     contrib = table(spark, sf_dir, "dict_header").where("origin = 'contrib'").select("dict_id").distinct()
