@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.entities import html5
 
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 LABELS = ("content", "html", "markdown", "wiki", "latex")
 CONTENT, HTML, MARKDOWN, WIKI, LATEX = range(5)
-SAMPLE, DEPTH = 2000, 4
+SAMPLE = 2000
 
 _comment = r"<!--.*?(?:-->|$)"
 _tag = re.compile(_comment + r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\s+[^<>\"'=\s/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?|\s*/|\s)*)\s*>|<!DOCTYPE[^>]*>", re.S)
@@ -117,9 +117,23 @@ def _signs(text: str, into: Node) -> None:
             into.children.append(Node(name))
 
 
-def parse(text: str, depth: int = 0) -> Node:
-    """The tree of a text."""
-    root = Node("document" if depth == 0 else "block")
+def parse(text: str) -> Node:
+    """The tree of a text, with the documents inside it to any depth (each is shorter than the text it stands in)."""
+    root = Node("document")
+    waiting = [(text, root)]
+    while waiting:
+        waiting.extend(_parse_one(*waiting.pop()))
+    return root
+
+
+def _parse_one(text: str, root: Node) -> list[tuple[str, Node]]:
+    """Hangs a document's nodes under ``root``; the documents inside it are returned with their nodes."""
+    inside: list[tuple[str, Node]] = []
+
+    def document(inner: str, under: Node) -> None:
+        under.children.append(Node("block"))
+        inside.append((inner, under.children[-1]))
+
     if text.startswith("@@@LINK=") or text.startswith("\ufeff@@@LINK="):
         text = text.split("=", 1)[1]
     stack: list[tuple[str, Node]] = [("", root)]
@@ -176,8 +190,7 @@ def parse(text: str, depth: int = 0) -> Node:
                 node.children.append(block)
                 if name == "iframe" and (doc := _srcdoc.search(m[3])):
                     inner = html.unescape(doc[1][1:-1])
-                    if depth < DEPTH:
-                        block.children.append(parse(inner, depth + 1))
+                    document(inner, block)
                     if inner != doc[1][1:-1]:
                         node.children.append(Node("entity"))
                 if name == "section":
@@ -200,12 +213,20 @@ def parse(text: str, depth: int = 0) -> Node:
             seen.add(id(n))
             body = "".join(plain[id(n)])
             # tags that were escaped are a document of their own
-            if "<" in body and depth < DEPTH and _tag.search(body):
-                n.children.append(parse(body, depth + 1))
+            if "<" in body and _tag.search(body):
+                document(body, n)
             else:
                 _signs(body, n)
         todo.extend(c for c in n.children if c.kind in ("block", "element"))
-    return root
+    return inside
+
+
+def _downwards(root: Node) -> list[Node]:
+    """All nodes that have children, and the root, each before those under it."""
+    out = [root]
+    for n in out:
+        out.extend(c for c in n.children if c.children)
+    return out
 
 
 class Model:
@@ -227,13 +248,13 @@ class Model:
         """(kind, marginal) of all nodes; leaves of one kind under one parent are computed once."""
         out: list[tuple[str, list[float]]] = []
 
-        def upward(n: Node) -> list[float]:
+        nodes = _downwards(root)
+        for n in reversed(nodes):
             below = [1.0] * 5
             leaves: Counter = Counter()
             inner = []
             for c in n.children:
                 if c.children:
-                    c.up = upward(c)
                     inner.append(c)
                 else:
                     leaves[c.kind] += 1
@@ -247,11 +268,11 @@ class Model:
                 top = max(below) or 1.0
                 below = [b / top for b in below]
             n.belief = (below, told)
-            return self._tell(below, self.emission[n.kind])
-
-        def downward(n: Node, above: list[float]) -> None:
+            n.up = self._tell(below, self.emission[n.kind])
+        above = {id(root): self.prior}
+        for n in nodes:
             below, told = n.belief
-            own = [a * b * e for a, b, e in zip(above, below, self.emission[n.kind])]
+            own = [a * b * e for a, b, e in zip(above.pop(id(n)), below, self.emission[n.kind])]
             total = sum(own) or 1.0
             out.append((n.kind, [x / total for x in own]))
             for c, _, m in told:
@@ -263,29 +284,40 @@ class Model:
                     total = sum(got) or 1.0
                     out.append((c, [x / total for x in got]))
                 else:
-                    downward(c, down)
-
-        upward(root)
-        downward(root, self.prior)
+                    above[id(c)] = down
         return out
 
 
-def _label(n: Node, context: int | None, rows: list[tuple[int, int, str]]) -> int:
-    """Labels of a labelled page: appends (parent label, label, kind) and returns the node's own label."""
-    if not n.children:
+def _label(root: Node, rows: list[tuple[int, int, str]]) -> int:
+    """Labels of a labelled page: appends (parent label, label, kind) and returns the root's own label."""
+
+    def leaf(n: Node, context: int | None) -> int:
         own = OWN.get(n.kind)
         if n.kind in PLAIN or n.kind in ("document", "block"):
             return CONTENT
         return own if own is not None else (context if context in (MARKDOWN, WIKI) else MARKDOWN)
-    votes = Counter(OWN[c.kind] for c in n.children if OWN.get(c.kind) is not None)
-    texts = {k: v for k, v in votes.items() if k in (MARKDOWN, WIKI)}
-    here = max(texts, key=texts.get) if texts else context
-    labels = [_label(c, here, rows) for c in n.children]
-    mine = HTML if n.kind == "element" else (Counter(labels).most_common(1)[0][0] if labels else CONTENT)
-    if texts and n.kind != "element":
-        mine = here
-    rows.extend((mine, k, c.kind) for c, k in zip(n.children, labels))
-    return mine
+
+    if not root.children:
+        return leaf(root, None)
+    nodes = _downwards(root)
+    context: dict[int, int | None] = {id(root): None}
+    texts: dict[int, dict[int, int]] = {}
+    for n in nodes:
+        votes = Counter(OWN[c.kind] for c in n.children if OWN.get(c.kind) is not None)
+        texts[id(n)] = own = {k: v for k, v in votes.items() if k in (MARKDOWN, WIKI)}
+        # what holds for the node's children
+        here = context[id(n)] = max(own, key=own.get) if own else context[id(n)]
+        context |= {id(c): here for c in n.children if c.children}
+    mine: dict[int, int] = {}
+    for n in reversed(nodes):
+        here = context[id(n)]
+        labels = [mine[id(c)] if c.children else leaf(c, here) for c in n.children]
+        own = HTML if n.kind == "element" else Counter(labels).most_common(1)[0][0]
+        if texts[id(n)] and n.kind != "element":
+            own = here
+        mine[id(n)] = own
+        rows.extend((own, k, c.kind) for c, k in zip(n.children, labels))
+    return mine[id(root)]
 
 
 def train(texts: list[str]) -> Model:
@@ -294,7 +326,7 @@ def train(texts: list[str]) -> Model:
     roots: Counter = Counter()
     for t in texts:
         root = parse(t)
-        k = _label(root, None, rows)
+        k = _label(root, rows)
         roots[k] += 1
         rows.append((k, k, "document"))
     edge = [[1.0] * 5 for _ in range(5)]
@@ -338,39 +370,55 @@ def carried(text: str, model: Model) -> list[str]:
 # ---------------------------------------------------------------- rendering
 
 
-def _render_html(text: str, depth: int = 0) -> str:
-    out: list[str] = []
-    last, skip, pre = 0, None, 0
-    for m in _tag.finditer(text):
+def _rendering(text: str) -> Generator[str, str, str]:
+    """Renders until no tags come out any more (each round takes some away); asks for the rendering of documents inside."""
+    while True:
+        out: list[str] = []
+        last, skip, pre = 0, None, 0
+        for m in _tag.finditer(text):
+            if not skip:
+                out.append(html.unescape(text[last : m.start()]))
+            last = m.end()
+            if m[2] is None:
+                continue
+            name, end = m[2].lower(), bool(m[1])
+            if skip:
+                skip = None if end and name == skip else skip
+            elif name in ("script", "style") and not end:
+                skip = name
+            elif name == "iframe" and (doc := _srcdoc.search(m[3])):
+                out.append("\n" + (yield html.unescape(doc[1][1:-1])) + "\n")
+            elif re.fullmatch("h[1-6]", name):
+                out.append("\n" if end else "\n" + "#" * int(name[1]) + " ")
+            elif name == "li" and not end:
+                out.append("\n- ")
+            elif name in ("td", "th"):
+                out.append(" |" if end else " ")
+            elif name == "tr":
+                out.append("\n" if end else "\n|")
+            elif name == "pre":
+                out.append("\n```\n" if not end or pre else "\n")
+                pre = 0 if end else 1
+            elif name == "br" or name in BLOCKS:
+                out.append("\n")
         if not skip:
-            out.append(html.unescape(text[last : m.start()]))
-        last = m.end()
-        if m[2] is None:
-            continue
-        name, end = m[2].lower(), bool(m[1])
-        if skip:
-            skip = None if end and name == skip else skip
-        elif name in ("script", "style") and not end:
-            skip = name
-        elif name == "iframe" and (doc := _srcdoc.search(m[3])) and depth < DEPTH:
-            out.append("\n" + _render_html(html.unescape(doc[1][1:-1]), depth + 1) + "\n")
-        elif re.fullmatch("h[1-6]", name):
-            out.append("\n" if end else "\n" + "#" * int(name[1]) + " ")
-        elif name == "li" and not end:
-            out.append("\n- ")
-        elif name in ("td", "th"):
-            out.append(" |" if end else " ")
-        elif name == "tr":
-            out.append("\n" if end else "\n|")
-        elif name == "pre":
-            out.append("\n```\n" if not end or pre else "\n")
-            pre = 0 if end else 1
-        elif name == "br" or name in BLOCKS:
-            out.append("\n")
-    if not skip:
-        out.append(html.unescape(text[last:]))
-    got = "".join(out)
-    return _render_html(got, depth + 1) if depth < DEPTH and _tag.search(got) and got != text else got
+            out.append(html.unescape(text[last:]))
+        got = "".join(out)
+        if got == text or not _tag.search(got):
+            return got
+        text = got
+
+
+def _render_html(text: str) -> str:
+    open_, got = [_rendering(text)], None
+    while open_:
+        try:
+            open_.append(_rendering(open_[-1].send(got)))
+            got = None
+        except StopIteration as done:
+            open_.pop()
+            got = done.value
+    return got
 
 
 def clean(text: str | None, model: Model) -> str | None:
