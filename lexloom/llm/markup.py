@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from html.entities import html5
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -250,7 +251,6 @@ class Model:
 
         nodes = _downwards(root)
         for n in reversed(nodes):
-            below = [1.0] * 5
             leaves: Counter = Counter()
             inner = []
             for c in n.children:
@@ -259,14 +259,12 @@ class Model:
                 else:
                     leaves[c.kind] += 1
             told = [(k, k_n, self.leaf[k]) for k, k_n in leaves.items()] + [(c, 1, c.up) for c in inner]
+            # in logarithms, as there may be any number of equal leaves
+            logs = [0.0] * 5
             for _, k_n, m in told:
-                if k_n == 1:
-                    below = [below[0] * m[0], below[1] * m[1], below[2] * m[2], below[3] * m[3], below[4] * m[4]]
-                else:
-                    k_n = min(k_n, 8)
-                    below = [b * x**k_n for b, x in zip(below, m)]
-                top = max(below) or 1.0
-                below = [b / top for b in below]
+                logs = [x + k_n * log(y) for x, y in zip(logs, m)]
+            top = max(logs)
+            below = [exp(x - top) for x in logs]
             n.belief = (below, told)
             n.up = self._tell(below, self.emission[n.kind])
         above = {id(root): self.prior}

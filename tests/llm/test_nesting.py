@@ -1,6 +1,7 @@
-"""Problem 2: documents inside documents, to any depth."""
+"""Problem 2: documents inside documents to any depth, and any number of equal signs."""
 
 import html
+from fractions import Fraction
 
 from lexloom.llm import markup as M
 
@@ -32,3 +33,18 @@ def test_deep_elements():
     page = "<div>" * 3000 + "word" + "</div>" * 3000
     assert M.carried(page, MODEL) == ["html"] and M.clean(page, MODEL) == "word"
     M.train([page])
+
+
+def test_many_equal_leaves():
+    """Marginals of a document over n equal leaves and one other, against exact fractions."""
+    for n in (1, 8, 9, 30, 2000):
+        root = M.Node("document")
+        root.children = [M.Node("star item") for _ in range(n)] + [M.Node("wiki bold")]
+        whole = lambda xs: [Fraction(x) for x in xs]
+        edge, told = [whole(r) for r in MODEL.edge], {}
+        for k in ("star item", "wiki bold"):
+            told[k] = [sum(r[c] * Fraction(MODEL.emission[k][c]) for c in range(5)) for r in edge]
+        own = [p * e * a**n * b for p, e, a, b in zip(whole(MODEL.prior), whole(MODEL.emission["document"]), told["star item"], told["wiki bold"])]
+        want = [float(x / sum(own)) for x in own]
+        got = next(m for kind, m in MODEL.marginals(root) if kind == "document")
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want)), n
