@@ -3,8 +3,8 @@
 Every window of ``WINDOW`` words of the evaluation items and of the corpus gets a 64-bit SimHash of its words. Fingerprints
 within ``RADIUS`` bits of each other agree on at least one of RADIUS + 1 blocks (pigeonhole), so looking up each block finds all of
 them. A candidate pair of windows is verified by the weighted similarity of its word shingles (each word and word pair weighs
-its rarity among the items), and a document is reported with an item if a verified pair, extended to both sides, has at least
-``WINDOW`` equal consecutive words.
+its rarity among the items) and then word by word: a document is reported with an item if ``WINDOW`` consecutive words are equal.
+As every window of either side is looked up, that exact check decides alone, and pairs need not be extended.
 
 Words are runs of letters and digits after markup, case, width, accents, look-alike letters, invisible characters and hyphens at
 line ends have been undone (``plain_words``). Null, blank and short texts hold no window. The items are a fixed test set: their
