@@ -1,6 +1,6 @@
 """Queries of the engine's own operators over the test tables, and their SQL.
 
-The index is mdx_index; query words are the distinct words of query_form; bodies are those of aggregate_section.
+The index is mdx_index; query words are the distinct words of query_form (prefixes are of ref_headword, as in their SQL); bodies are those of aggregate_section.
 """
 
 from __future__ import annotations
@@ -200,15 +200,15 @@ def fts_trigrams(spark, sf):
 
 
 def fuzzy_suggest(spark, sf):
-    return G.fuzzy_suggest(table(spark, sf, "ref_headword").select(F.col("canonical").alias("word")), index(spark, sf))
+    return G.fuzzy_suggest(words(spark, sf), index(spark, sf))
 
 
 def fuzzy_cross_dict(spark, sf):
-    return G.fuzzy_merged(table(spark, sf, "ref_headword").select(F.col("canonical").alias("word")), index(spark, sf))
+    return G.fuzzy_merged(words(spark, sf), index(spark, sf))
 
 
 def suggest_else_fuzzy(spark, sf):
-    return G.suggest_else_fuzzy(table(spark, sf, "ref_headword").select(F.col("canonical").alias("word")), index(spark, sf))
+    return G.suggest_else_fuzzy(words(spark, sf), index(spark, sf))
 
 
 # ---- answers
