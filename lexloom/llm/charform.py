@@ -13,6 +13,7 @@ Arrow functions, always in Latin script.
 
 from __future__ import annotations
 
+import re
 import unicodedata as U
 from functools import lru_cache
 
@@ -157,19 +158,34 @@ def _classes(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _fold_table() -> dict[int, str]:
-    table = {ord(c): d for c, d in _tables()[0]}
+    # marks go last: a decomposition may hold some
+    bare = lambda d: "".join(c for c in d if not U.combining(c))
+    table = {ord(c): bare(d) for c, d in _tables()[0]}
     for row in LOOK_ALIKES:
         for other in row[1:]:
             if other and row[0]:
-                table[ord(other)] = row[0]
+                table[ord(other)] = bare(U.normalize("NFD", row[0]))
     table |= {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS}
-    table |= {n: "" for n in range(0x20000) if _invisible(chr(n)) and not 0xD800 <= n <= 0xDFFF}
+    table |= {n: "" for n in range(0x20000) if (_invisible(chr(n)) or U.combining(chr(n))) and not 0xD800 <= n <= 0xDFFF}
     return table
 
 
+_other = re.compile(r"[^\x00-\x7f]+")
+_folded: dict[str, str] = {}
+
+
+def _fold_run(m: re.Match) -> str:
+    run = m[0]
+    got = _folded.get(run)
+    if got is None:
+        got = run.translate(_fold_table())
+        if len(run) < 32:  # each character folds on its own, hence short runs, which come again, are remembered
+            if len(_folded) >= 1 << 17:
+                _folded.clear()
+            _folded[run] = got
+    return got
+
+
 def fold(text: str) -> str:
     """Latin look-alike form without marks, for comparing inside Arrow functions: ordinary width, nothing invisible, no accents."""
-    if text.isascii():
-        return text
-    out = text.translate(_fold_table())
-    return out if out.isascii() else "".join(c for c in out if not U.combining(c))
+    return text if text.isascii() else _other.sub(_fold_run, text)

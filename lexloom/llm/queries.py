@@ -43,14 +43,18 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def leaked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
-    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+    return leaked_passages(spark, sf_dir).select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked test items with the number of documents each stands in."""
-    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+    """Leaked test items with the number of documents each stands in, and the longest passage of it in words."""
+    return leaked_passages(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"))
 
 
 def index_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

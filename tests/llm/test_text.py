@@ -120,12 +120,39 @@ def test_simhash_blocks_find_all_within_radius():
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
+def test_leaks_against_brute_force():
+    """Random texts over few words: pairs and longest runs as by comparing everything with everything."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["ta", "ke", "mo", "lu", "zi"])
+    for least in (1, 3, 8):
+        texts = [[word() for _ in range(rnd.randrange(30))] for _ in range(6)]
+        items = K.Items(list(range(6)), [" ".join(t) for t in texts], least)
+        docs = [[rnd.choice([word(), word(), "other"]) for _ in range(rnd.randrange(25))] + rnd.choice(texts)[rnd.randrange(4) :][: rnd.randrange(20)] for _ in range(60)]
+        for d, found in zip(docs, items.leaks(docs)):
+            want = {}
+            for i, t in enumerate(texts):
+                row, best = [0] * (len(t) + 1), 0
+                for x in d:
+                    row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(t)]
+                    best = max(best, *row)
+                if best >= least:
+                    want[i] = best
+            assert set(found) == set(want)
+            assert all(found[i] <= want[i] for i in found) and all(found[i] >= least for i in found)
+
+
+def test_run_reaches_over_the_whole_passage():
+    words = K.plain_words(ITEM)
+    items = K.Items([1], [ITEM])
+    assert items.leaks([["x", *words, "y"]]) == [{1: len(words)}] and items.leaks([words[3:12] + ["x"]]) == [{1: 9}] and items.leaks([words[:7], []]) == [{}, {}]
+
+
 def test_leaks(spark):
     seven, eight = " ".join(ITEM.split()[:7]), " ".join(ITEM.split()[2:10])
-    docs = spark.createDataFrame([(1, "x " + eight.upper() + " y", 0), (2, seven + " but not more", 0), (3, None, 0), (4, "", 0), (5, ITEM + " " + ITEM, 0), (6, "z " * 50_000 + ITEM, 0)], "doc_id long, text string, item_id int")
+    docs = spark.createDataFrame([(1, "x " + eight.upper() + " y", 0), (2, seven + " but not more", 0), (3, None, 0), (4, "", 0), (5, ITEM + " " + ITEM, 0), (6, "z " * 50_000 + ITEM, 0), (5, ITEM, 1)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(10, ITEM), (11, None), (12, ""), (13, "too short")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in K.find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect())
-    assert got == [(1, 10), (5, 10), (6, 10)]
+    assert got == [(1, 10), (5, 10), (5, 10), (6, 10)]
     blocks = sorted((r["doc_id"], r["item_id"]) for r in K.find_leaks(docs, "doc_id", "text", items, "item_id", "text", max_items=1).collect())
     assert blocks == got
     assert K.find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
