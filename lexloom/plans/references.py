@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.links import LINK_ATTRIBUTES, redirect_target, with_entry_target
 from lexloom.functions.normalize import canonical_normalize
 from lexloom.operators.hierarchy import descendants, hierarchy, paths
-from lexloom.operators.orphans import resolve_text_references
+from lexloom.operators.orphans import report_orphans, resolve_text_references
+from lexloom.operators.skew import join_unique
 from lexloom.plans.data import table
 from lexloom.session import cut
 
@@ -39,13 +40,15 @@ def index_keys(index: DataFrame) -> DataFrame:
 def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """body_references with the row each means (target_id) and its state: missing, deleted, late, or null where it is there."""
     refs = cut(body_references(table(spark, sf_dir, "aggregate_section")).withColumn("norm", canonical_normalize("target")))
-    meant = resolve_text_references(refs, index_keys(table(spark, sf_dir, "mdx_index")))
+    words = cut(refs.groupBy("dict", "target", "norm").agg(F.count(F.lit(1)).alias("n")))
+    meant = cut(resolve_text_references(words, index_keys(table(spark, sf_dir, "mdx_index"))))
     state = (
         F.when(F.col("row").isNull(), "missing")
         .when(F.col("row.deleted_at") <= F.col("fetched_at"), "deleted")
         .when(F.col("row.indexed_at") > F.col("fetched_at"), "late")
     )
-    return refs.join(meant, ["dict", "target"], "left").select(
+    # a word may be the target of any share of the references
+    return join_unique(refs, meant, ["dict", "target"], words.select("dict", "target", "n")).select(
         "section_id", "dict", "index_id", "fetched_at", "target", "redirect", F.col("row.id").alias("target_id"), state.alias("state")
     )
 
@@ -62,6 +65,15 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.col("dict").alias("dict_id"), month).agg(F.count(F.lit(1)).alias("references"), n("missing"), n("deleted"), n("late"))
 
 
+def p6_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer references without a record, per table and month: sections of index rows, payloads and suggestions of queries."""
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    index, asked = table(spark, sf_dir, "mdx_index"), table(spark, sf_dir, "query_form")
+    out = report_orphans(table(spark, sf_dir, "aggregate_section"), "index_id", month("fetched_at"), index, "id", "aggregate_section")
+    out = out.unionByName(report_orphans(table(spark, sf_dir, "query_json_payload"), "query_id", month("created_at"), asked, "query_id", "query_json_payload"))
+    return out.unionByName(report_orphans(table(spark, sf_dir, "fuzzy_suggestion"), "query_id", F.lit(None).cast("string"), asked, "query_id", "fuzzy_suggestion"))
+
+
 def redirect_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """child, parent: redirects that lead to a live row of the same dictionary."""
     got = resolved_references(spark, sf_dir).where("redirect and state is null and index_id is not null")

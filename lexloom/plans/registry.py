@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "p5_descendants": references.p5_descendants,
         "p6_found": references.p6_found,
         "p6_report": references.p6_report,
+        "p6_keys": references.p6_keys,
     }
 
 

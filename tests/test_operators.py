@@ -8,6 +8,7 @@ from lexloom.operators import orphans as O
 from lexloom.operators import render as R
 from lexloom.operators import state as S
 from lexloom.operators import suggest as G
+from lexloom.operators.skew import join_unique
 
 INDEX = "dict_id string, id long, text string, normalized string"
 
@@ -139,9 +140,9 @@ def brute_tree(links):
     return out
 
 
-def check_tree(spark, links, base):
+def check_tree(spark, links, least=10_000):
     df = spark.createDataFrame([(c, p, "x") for c, p in links], "child long, parent long, depth string")
-    got = Y.hierarchy(df, base).collect()
+    got = Y.hierarchy(df, least).collect()
     want = brute_tree([x for x in links if None not in x])
     assert {r["node_id"]: (r["root_id"], r["depth"]) for r in got} == want and len(got) == len(want)
     inside = {(r["root_id"], r["node_id"]): (r["entry"], r["exit"]) for r in got if r["depth"] > 0}
@@ -161,17 +162,33 @@ def check_tree(spark, links, base):
 def test_hierarchy_random(spark):
     rnd = random.Random(5)
     links = [(c, rnd.randrange(0, 60)) for c in rnd.sample(range(60), 45)]
-    check_tree(spark, links, 1 << 16)
-    check_tree(spark, links, 40)  # contraction rounds
-    check_tree(spark, [(2 * i + 1, 2 * i) for i in range(100)], 50)  # more lists than the base
+    check_tree(spark, links)
+    check_tree(spark, links, 0)  # hot parents and trees apart
+    check_tree(spark, [(2 * i + 1, 2 * i) for i in range(100)])
 
 
 def test_hierarchy_cases(spark):
     assert Y.hierarchy(spark.createDataFrame([], "child long, parent long")).count() == 0
-    check_tree(spark, [(1, 2), (1, 2), (2, 1), (3, 1), (4, 4), (5, 6), (None, 3), (7, None)], 1 << 16)
-    check_tree(spark, [(i, i + 1) for i in range(60)], 40)  # one long chain
+    check_tree(spark, [(1, 2), (1, 2), (2, 1), (3, 1), (4, 4), (5, 6), (None, 3), (7, None)])
+    check_tree(spark, [(i, i + 1) for i in range(60)])  # one long chain
     star = [(i, 0) for i in range(1, 100)] + [(1000 + i, 1) for i in range(20)]
-    check_tree(spark, star, 100)  # most rows under one
+    check_tree(spark, star, 10)  # most rows under one
+
+
+def test_long_chain_and_giant_tree(spark):
+    """Long chains, with an end and into a cycle, and a tree with most of its rows under one."""
+    n = 30_000
+    ids = spark.range(n)
+    chain = ids.select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    ring = chain.select(F.col("child") + 10 * n, F.when(F.col("child") == n - 1, 10 * n + n - 3).otherwise(F.col("parent") + 10 * n))
+    star = ids.select(F.col("id") + 20 * n, F.when(F.col("id") % 2 == 0, 30 * n).otherwise(F.col("id") + 20 * n - 1))
+    got = Y.hierarchy(chain.union(ring).union(star), 1000).cache()
+    assert got.count() == 3 * n
+    assert got.where(f"node_id < {n} and not (root_id = {n} and depth = {n} - node_id and n_below = node_id)").count() == 0
+    assert got.where(f"node_id >= {10 * n} and node_id < {20 * n} and not (root_id = 0 and depth = -1)").count() == 0
+    assert {r["node_id"] for r in got.where("on_cycle").collect()} == {11 * n - 3, 11 * n - 2, 11 * n - 1}
+    assert got.where(f"node_id >= {20 * n} and not (root_id = {30 * n} and depth = 1 + node_id % 2 and n_below = 1 - node_id % 2)").count() == 0
+    got.unpersist()
 
 
 # ---- orphans
@@ -196,6 +213,26 @@ def test_orphan_report(spark):
     assert got == [("a", "t", 3, 2, 1), ("b", "t", 1, 1, 1)]
 
 
+def test_runs_across_partitions_and_blocks(spark):
+    rnd = random.Random(12)
+    keys = [k + shift for shift in (-(1 << 16) - 50, (1 << 16) - 50, 0) for k in rnd.sample(range(200), 150)] * 2
+    rnd.shuffle(keys)
+    p = spark.createDataFrame([(k,) for k in keys], "key long").repartition(7)
+    r = spark.createDataFrame([(k, "x") for shift in (-(1 << 16) - 50, (1 << 16) - 50, 0) for k in range(shift - 5, shift + 205)], "key long, n string")
+    got = rows(O.match_runs(r, p), "key", "orphan")
+    assert got == sorted((row["key"], row["key"] not in set(keys)) for row in r.collect())
+    s, e = O.runs_of(__import__("numpy").array([5, 3, 4, 4, 9, (1 << 16) - 1, 1 << 16]))
+    assert list(zip(s.tolist(), e.tolist())) == [(3, 5), (9, 9), ((1 << 16) - 1, (1 << 16) - 1), (1 << 16, 1 << 16)]
+
+
+def test_join_unique_splits_hot_keys(spark):
+    left = spark.createDataFrame([("a" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 999)], "k string, i long")
+    right = spark.createDataFrame([("a", 1), ("k0", 2), ("zz", 3)], "k string, v int")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = rows(join_unique(left, right, ["k"], counts, 50), "i", "v")
+    assert got == sorted((r["i"], {"a": 1, "k0": 2}.get(r["k"])) for r in left.collect())
+
+
 def test_text_references(spark):
     parents = spark.createDataFrame([("d", 5, "Go", "go"), ("d", 3, "Go", "go"), ("d", 1, "go!", "go"), ("e", 9, "x", None)], "dict string, id long, text string, normalized string")
     parents = parents.withColumn("row", F.struct("id"))
