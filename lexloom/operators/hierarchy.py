@@ -1,17 +1,17 @@
 """Parent-child links to full hierarchies.
 
-1. Peel leaves: links whose child is nobody's parent are set aside, round after round; what cannot be peeled is the cycles.
+1. Peel leaves: rows that are nobody's parent go, and then, with jumps of 1, 2, 4, ... links, all rows from which a jump leads
+   beyond an end, until no more go. What is left is on cycles or leads into one, and jumps longer than any way into a cycle end on it.
 2. Cut the cycles: a row on a cycle becomes the (endless) root of what leads into it. The rest is a forest.
 3. Euler tour: every link gives an arc down and an arc up; each arc knows the next one of its tree's tour.
-4. Parallel list ranking: independent arcs are spliced out round after round (an arc takes over its successor where a hash of
-   their ids says so), which shrinks the lists by a quarter each time with links to one neighbour only; a remainder of at most
-   ``base`` arcs is ranked in one task, and the spliced arcs are put back in reverse order.
+4. Parallel list ranking: every arc stands for a stretch of its list, and takes over the stretch that follows, round after round;
+   stretches double. Arcs that have reached the end, and that none looks at any more, leave the rounds.
 5. Positions of the two arcs are the entry and exit of a row; depth is the number of open arcs at its entry.
 6. Paths: rows in the order of their trees' tours, cut into ranges; each range first gets the rows whose intervals are open where
    it begins, and one sweep with a stack gives every row its path. Nothing is gathered per tree, whatever its size.
 
-Every round is joins and aggregates on arc ids (unique, hence without skew) and is written to the shared checkpoint folder.
-Both bounded remainders (``base``) are constants, never a share of the data.
+Rounds grow with the logarithm of the longest chain or tour, and are alike at every size. Every round is joins and aggregates on
+unique ids, or on keys whose hot values are split (by ``join_unique`` or adaptive execution), and is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -24,41 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.skew import LEAST, join_unique
 from lexloom.session import cut
 
-BASE = 1 << 16
 #: Most rows of a path in one result row.
 BLOCK = 1024
 
 
-def _peel_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cycle rows of a bounded set of links (child, parent), by peeling leaves in place."""
-    parent = dict(zip(pdf["child"].tolist(), pdf["parent"].tolist()))
-    degree: dict[int, int] = {}
-    for p in parent.values():
-        degree[p] = degree.get(p, 0) + 1
-    leaves = [c for c in parent if not degree.get(c)]
-    while leaves:
-        c = leaves.pop()
-        p = parent.pop(c)
-        degree[p] -= 1
-        if not degree[p] and p in parent:
-            leaves.append(p)
-    return pd.DataFrame({"child": pd.Series(list(parent), dtype="int64")})
-
-
-def cycle_rows(links: DataFrame, base: int = BASE) -> DataFrame:
-    """Rows on a cycle (child BIGINT), by peeling leaves off links(child, parent)."""
-    core, n = links.select("child", "parent"), None
-    while True:
-        left = core.count()
-        if left <= base or left == n:
-            break
-        n = left
-        core = cut(core.join(core.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
-    if left == n:  # nothing more to peel: all of it is cycles
-        return core.select("child")
-    return core.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_peel_rest, "child long")
+def cycle_rows(links: DataFrame) -> DataFrame:
+    """Rows on a cycle (child BIGINT) of links(child, parent) with one parent each."""
+    inner = links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+    state = cut(inner.select("child", F.col("parent").alias("jump")))
+    span, left, before = 1, state.count(), None
+    # a row from which ``span`` links lead on stays; when none goes, none has an end, and ways into cycles are no longer than ``left``
+    while left and (left != before or span < left):
+        # many rows may jump to the same one: a skewed join with one row a key, which adaptive execution splits
+        then = state.select(F.col("child").alias("jump"), F.col("jump").alias("jump2"))
+        state = cut(state.join(then, "jump").select("child", F.col("jump2").alias("jump")))
+        span, before, left = span * 2, left, state.count()
+    return state.select(F.col("jump").alias("child")).distinct()
 
 
 def euler_arcs(links: DataFrame) -> DataFrame:
@@ -122,94 +106,64 @@ def euler_arcs(links: DataFrame) -> DataFrame:
     return down.unionByName(rest).unionByName(last)
 
 
-def _rank_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums from each arc to the end of its list, over a bounded remainder of arcs, by pointer doubling in place."""
-    arc = pdf["arc"].to_numpy()
-    order = np.argsort(arc, kind="stable")
-    known = arc[order]
-    nxt = pdf["next"].fillna(-1).to_numpy().astype(np.int64)
-    at = np.searchsorted(known, nxt)
-    jump = np.where(nxt < 0, -1, order[np.minimum(at, len(order) - 1)])
-    n, w, end = pdf["n"].to_numpy().copy(), pdf["w"].to_numpy().copy(), pdf["last"].to_numpy().copy()
-    while (jump >= 0).any():
-        live = np.flatnonzero(jump >= 0)
-        j = jump[live]
-        n[live], w[live], end[live], jump[live] = n[live] + n[j], w[live] + w[j], end[j], jump[j]
-    return pd.DataFrame({"arc": arc, "n": n, "w": w, "end": end})
-
-
-def rank_lists(arcs: DataFrame, base: int = BASE) -> DataFrame:
+def rank_lists(arcs: DataFrame) -> DataFrame:
     """List ranking of arcs(arc, next, w): arc, n and w summed from the arc to the end of its list (inclusive), end = last arc.
 
-    An arc stands for the stretch of arcs it has taken over: w and n are the stretch's sums, last its last arc. A list is done,
-    and leaves the rounds, when its head stands for all of it.
+    An arc stands for the stretch from itself to before ``next``: n and w are the stretch's sums, end its last arc. In a round it
+    takes over the stretch that begins there, by a join on unique ids from either side. An arc without a next one is ranked.
     """
-    if arcs.count() > base:
-        followers = arcs.where("next is not null").select(F.col("next").alias("arc"), F.lit(False).alias("head"))
-        lists = cut(arcs.join(followers, "arc", "left").withColumn("head", F.coalesce("head", F.lit(True))))
-    else:
-        lists = arcs.withColumn("head", F.lit(False))
-    lists = lists.select("arc", "next", "w", F.lit(1).cast("long").alias("n"), F.col("arc").alias("last"), "head")
-    spliced: list[DataFrame] = []
-    done: list[DataFrame] = []
-    k = 0
-    while (left := lists.count()) > base:
-        coin = lambda c, k=k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2))
-        takes = lists.where(F.col("next").isNotNull() & (coin(F.col("arc")) == 0) & (coin(F.col("next")) == 1))
-        # the successor's own row is needed by exactly one predecessor: a join on unique keys
-        succ = lists.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("w").alias("w2"), F.col("n").alias("n2"), F.col("last").alias("last2"))
-        merged = cut(takes.join(succ, "next"))
-        gone = merged.select(F.col("next").alias("arc"), F.col("arc").alias("before"), F.col("w").alias("bw"), F.col("n").alias("bn"))
-        spliced.append(gone)
-        stay = lists.join(merged.select("arc").unionByName(gone.select("arc")), "arc", "left_anti")
-        new = merged.select("arc", F.col("next2").alias("next"), (F.col("w") + F.col("w2")).alias("w"), (F.col("n") + F.col("n2")).alias("n"), F.col("last2").alias("last"), "head")
-        both = cut(stay.unionByName(new))
-        finished = F.col("head") & F.col("next").isNull()
-        done.append(both.where(finished).select("arc", "n", "w", F.col("last").alias("end")))
-        lists = both.where(~finished)
-        k += 1
-        if k > 400:
-            raise RuntimeError(f"list ranking does not shrink: {left} arcs left")
-    ranked = lists.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(_rank_rest, "arc long, n long, w long, end long")
-    for d in done:
-        ranked = ranked.unionByName(d)
-    for gone in reversed(spliced):
-        # the predecessor's sum covers it and the arcs after it: take the predecessor's own share off
-        prev = ranked.select(F.col("arc").alias("before"), "n", "w", "end")
-        back = gone.join(prev, "before").select("arc", (F.col("n") - F.col("bn")).alias("n"), (F.col("w") - F.col("bw")).alias("w"), "end")
-        ranked = cut(ranked.unionByName(back))
-    return ranked
-
-
-def hierarchy(links: DataFrame, base: int = BASE) -> DataFrame:
+    state = cut(arcs.select("arc", "next", "w", F.lit(1).cast("long").alias("n"), F.col("arc").alias("end")))
+    ranked: list[DataFrame] = []
+    while state.where("next is not null").limit(1).count():
+        moving = state.where("next is not null").select("arc", F.col("next").alias("to"), "w", "n")
+        after = state.select(F.col("arc").alias("to"), F.col("next").alias("next2"), F.col("w").alias("w2"), F.col("n").alias("n2"), F.col("end").alias("end2"))
+        looked, ended = F.col("arc").isNotNull(), F.col("next2").isNull()
+        row = lambda arc, nxt, w, n, done: F.struct(arc.alias("arc"), nxt.alias("next"), w.alias("w"), n.alias("n"), F.col("end2").alias("end"), F.lit(done).alias("done"))
+        null = F.lit(None).cast("long")
+        rows = F.array(
+            F.when(looked, row(F.col("arc"), F.col("next2"), F.col("w") + F.col("w2"), F.col("n") + F.col("n2"), False)),
+            F.when(ended & looked, row(F.col("to"), null, F.col("w2"), F.col("n2"), False)),
+            F.when(ended & ~looked, row(F.col("to"), null, F.col("w2"), F.col("n2"), True)),
+        )
+        both = cut(moving.join(after, "to", "full").select(F.explode(F.array_compact(rows)).alias("r")).select("r.*"))
+        ranked.append(both.where("done").select("arc", "n", "w", "end"))
+        state = both.where("not done").drop("done")
+    out = state.select("arc", "n", "w", "end")
+    for done in ranked:
+        out = out.unionByName(done)
+    return out
+
+
+def hierarchy(links: DataFrame, least: int = LEAST) -> DataFrame:
     """Full hierarchy of links(child BIGINT, parent BIGINT), ids from 0.
 
     One row per distinct child: node_id, parent_id, root_id, depth, entry, exit, n_below, on_cycle, top_id, level. root_id is the
     row at the end (it has no link itself) and depth the number of links to it; rows on a cycle or leading into one have root_id 0
-    and depth -1. top_id is the root or else the first row on a cycle, level the number of links to it. entry and exit are positions in the tour of the root's tree: u is above v iff they share the root and
-    entry(u) < entry(v) < exit(u). Null ids are no links; of several parents of a child the lowest counts; a row that is its own
+    and depth -1. top_id is the root or else the first row on a cycle, level the number of links to it. entry and exit are positions in
+    the tour of the root's tree: u is above v iff they share the root and entry(u) < entry(v) < exit(u). Null ids are no links; of several parents of a child the lowest counts; a row that is its own
     parent is a cycle; an empty table gives no rows.
     """
     links = links.where("child is not null and parent is not null").groupBy("child").agg(F.min("parent").alias("parent"))
     links = cut(links.select(F.col("child").cast("long"), F.col("parent").cast("long")))
-    endless = cut(cycle_rows(links, base)).withColumn("on_cycle", F.lit(True))
+    endless = cut(cycle_rows(links)).withColumn("on_cycle", F.lit(True))
     forest = cut(links.join(endless.select("child"), "child", "left_anti"))
-    rank = rank_lists(cut(euler_arcs(forest)), base)
+    rank = cut(rank_lists(euler_arcs(forest)))
     child, up = F.shiftright("arc", 1), F.pmod("arc", F.lit(2)) == 1
     # both arcs of a row side by side; n counts arcs to the end, so the tour of a tree is as long as its largest n
-    both = rank.groupBy(child.alias("child")).agg(
+    both = cut(rank.groupBy(child.alias("child")).agg(
         F.max(F.when(~up, F.col("n"))).alias("down"),
         F.max(F.when(up, F.col("n"))).alias("up"),
         F.max(F.when(~up, F.col("w"))).alias("w"),
         F.max("end").alias("end"),
-    )
+    ))
     # the tour ends with the arc up from the root's last child
     last = rank.where("arc = end").select(F.col("end"), F.shiftright("end", 1).alias("last"))
     tops = last.join(forest.withColumnRenamed("child", "last"), "last").select("end", F.col("parent").alias("top"))
     tops = tops.join(endless.select(F.col("child").alias("top"), F.lit(True).alias("bad")), "top", "left")
     length = rank.groupBy("end").agg(F.max("n").alias("len"))
-    tops = tops.join(length, "end")
-    got = both.join(tops, "end").join(forest, "child")
+    tops = cut(tops.join(length, "end"))
+    # a tree may hold any share of the rows
+    got = join_unique(both, tops, ["end"], tops.select("end", F.shiftright("len", 1).alias("n")), least).join(forest, "child")
     ok = F.col("bad").isNull()
     trees = got.select(
         F.col("child").alias("node_id"),
@@ -284,8 +238,27 @@ def paths(tree: DataFrame, block: int = BLOCK) -> DataFrame:
     # first row of each range: as many as there are partitions
     heads = ordered.groupBy("range").agg(F.min(F.struct("top", "pos")).alias("head"))
     heads = heads.select(F.col("range").alias("into"), F.col("head.top").alias("top"), F.col("head.pos").alias("at"))
-    opened = ordered.join(F.broadcast(heads), "top").where("pos < at and exit > at")
-    carried = opened.drop("range", "at").withColumnRenamed("into", "range").withColumn("carried", F.lit(True))
+    at = sorted((r["top"], r["at"], r["into"]) for r in heads.collect())
+    tops, places, into = (np.array(c, np.int64) for c in zip(*at)) if at else (np.zeros(0, np.int64),) * 3
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows once for every range that begins within them."""
+        for b in batches:
+            top, pos, end = (b.column(i).to_numpy() for i in range(3))
+            lo, hi = np.searchsorted(tops, top, "left"), np.searchsorted(tops, top, "right")
+            first, after = np.zeros(len(top), np.int64), np.zeros(len(top), np.int64)
+            for t in np.unique(lo[hi > lo]).tolist():  # trees in which ranges begin, as many as there are partitions at most
+                rows = np.flatnonzero((lo == t) & (hi > lo))
+                inside = places[t : hi[rows[0]]]
+                first[rows], after[rows] = t + np.searchsorted(inside, pos[rows], "right"), t + np.searchsorted(inside, end[rows], "left")
+            n = np.maximum(after - first, 0)
+            rows = np.repeat(np.arange(len(n)), n)
+            which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            taken = [c.take(pa.array(rows)) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(into[which].astype(np.int32))], names=[*b.schema.names, "range"])
+
+    names = ["top", "pos", "exit", "level", "node", "n_below", "endless"]
+    carried = ordered.select(*names).mapInArrow(opened, ordered.select(*names).schema.add("range", "integer")).withColumn("carried", F.lit(True))
     both = ordered.withColumn("carried", F.lit(False)).unionByName(carried)
     both = both.repartition("range").sortWithinPartitions("range", "top", "pos").select("range", "top", "pos", "level", "node", "n_below", "endless", "carried")
 

@@ -36,8 +36,8 @@ def joined(rows, block):
     return out
 
 
-def check_paths(spark, links, base=1 << 16, block=1024):
-    found = Y.paths(Y.hierarchy(spark.createDataFrame(links, "child long, parent long"), base), block).cache()
+def check_paths(spark, links, least=10_000, block=1024):
+    found = Y.paths(Y.hierarchy(spark.createDataFrame(links, "child long, parent long"), least), block).cache()
     want = brute_paths(links)
     pairs = sorted((u, v, k) for v, (_, _, path) in want.items() for k, u in enumerate(path) if k)
     below = {u: 0 for u in want}
