@@ -78,7 +78,9 @@ def test_percent_encode(spark):
         ('<a data-href="serendipity">', 'data-href="/dict/d1/entry/serendipity"'), ('<img src="\\img\\foo.png">', 'src="/dict/d1/res/img/foo.png"'),
         ('<use xlink:href="a.svg"/>', 'xlink:href="/dict/d1/res/a.svg"'), ('<use xlink:href="#icon"/>', 'xlink:href="#icon"'), ('<img src="data:x">', 'src="data:x"'),
         ('<img srcset="img/lo.png 480w, img/hi.png 1080w">', 'srcset="/dict/d1/res/img/lo.png 480w, /dict/d1/res/img/hi.png 1080w"'),
-        ("<style>a{background:url(x.png)}</style>", "url(/dict/d1/res/x.png)"), ("<p style=\"background:url('y.png')\">", "url('/dict/d1/res/y.png')"),
+        ("<style>a{background:url(x.png)}</style>", "url(/dict/d1/res/x.png)"), ("<p style=\"background:url('y.png')\">", "url(/dict/d1/res/y.png)"),
+        ('<style>a{b:url("z.png")}</style>', "b:url(/dict/d1/res/z.png)"), ("<style>a{b:url(a b.png)}</style>", "url(a b.png)"), ("<p style='b:url(\"https://x/y.png\")'>", 'url("https://x/y.png")'),
+        ('<img srcset="https://x/a.png   1x, b.png 2x">', 'srcset="https://x/a.png   1x, /dict/d1/res/b.png 2x"'), ("<script>a('<img src=\"x.png\">')</script>", 'src="x.png"'), ("<!-- <a href=\"w\"> -->", 'href="w"'),
     ],
 )
 def test_rewrite(html, want):
@@ -106,6 +108,22 @@ def test_meta():
     assert H.meta_one(None, "d")["entries"] == [] and H.meta_one('<a href="entry://x">see</a>', "d")["headword"] == "see"
 
 
+def test_meta_cases():
+    two = '<span class="entry" id="LDOCE6_go_1"><a href="entry://go">go</a><p class="sense"></span><span id="LDOCE6_go_2" class="entry"><p class="sense sensenum"><p class="sensenum"></span>'
+    m = H.meta_one(two, "d")
+    assert [e["id"] for e in m["entries"]] == ["LDOCE6_go_1", "LDOCE6_go_2"] and m["entries"][0]["label"] == "go" and m["entries"][1]["label"] == "go 2" and m["sense_count"] == 2
+    m = H.meta_one('<div class="entry" id="x_1"></div><div class="entry" id="x_1"></div><a href="/dict/d/audio/uk/go.mp3">', "d")
+    assert m["entries"] == [{"id": "x_1", "label": "x 1"}] and m["audio"] == "/dict/d/audio/uk/go.mp3"
+    assert H.meta_one("<" * 1000 + "<a class=", "d")["headword"] == "" and H.meta_one("", "d")["entries"] == []
+
+
+def test_style_split():
+    same = '<link rel="alternate stylesheet" href="/t.css">'
+    assert H.style_key(same) == H.style_key("<LINK href='/t.css' rel='stylesheet'>") == "link:/t.css" and H.style_key("<link rel=icon href=x>") is None
+    got = H.split_one(same + "<p>a</p><style type='x'>a>b{c:'</p>'}</style>b<link rel=icon href=x><style>open")
+    assert got == {"body": "<p>a</p>b<link rel=icon href=x><style>open", "styles": ["<style type='x'>a>b{c:'</p>'}</style>", same]}
+
+
 def test_sanitize_and_escape(spark):
     assert column(spark, ['<p onclick="x()">a<a href="javascript:y">', None], T.sanitize) == ["<p>a<a >", None]
     assert column(spark, ["<a href=\"x\">&'"], T.escape_html) == ["&lt;a href=&quot;x&quot;&gt;&amp;&#39;"]
