@@ -12,6 +12,7 @@ Texts within the limit are one piece; null and empty texts give none. Repeated i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.tokens import TOKENIZER, encoder, tree
+from lexloom.llm.tokens import PATTERN, TOKENIZER, encoder, tree
 
 LIMIT, OVERLAP = 1024, 64
 #: Cut positions are the ends of these matches, from coarse to fine.
@@ -30,14 +31,36 @@ WORD = regex.compile(r"\s+")
 LEVELS = (SECTION, PARAGRAPH, SENTENCE, WORD)
 
 
+_word = regex.compile(PATTERN)
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str = TOKENIZER) -> np.ndarray:
+    """Length in bytes of every token."""
+    e = encoder(path)
+    out = np.zeros(e.n_vocab + 1, np.int64)
+    for b, i in e._mergeable_ranks.items():
+        out[i] = len(b)
+    return out
+
+
+def borders(text: str, ids: list[int], path: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens begin (character offsets, and the end), and the number of ids before each of them."""
+    at = np.concatenate([np.zeros(1, np.int64), np.fromiter((m.end() for m in _word.finditer(text)), np.int64)])
+    cum = np.concatenate([np.zeros(1, np.int64), np.cumsum(token_bytes(path)[np.array(ids, np.int64)])])
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    starts = at if len(data) == len(text) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[at]
+    return at, np.searchsorted(cum, starts)
+
+
 class Cutter:
     """Boundaries and token counts of one text."""
 
     def __init__(self, text: str, limit: int, overlap: int, path: str) -> None:
         self.text, self.limit, self.overlap, self.path = text, limit, overlap, path
-        part = tree(text, path)
-        self.total = len(part.ids)
-        self.borders, self.before = part.borders, part.before
+        ids = tree(text, path).ids
+        self.total = len(ids)
+        self.borders, self.before = borders(text, ids, path)
         self.cuts = [np.fromiter((m.end() for m in rx.finditer(text)), np.int64) for rx in LEVELS]
 
     def tokens_at(self, pos: int) -> float:

@@ -1,13 +1,12 @@
 """Encoding with a public byte-level BPE tokenizer, as a monoid tree reduction.
 
-A text is halved until its parts fit a leaf; leaves are encoded on their own. Two neighbours are joined by encoding a window
-around their border again: the window starts at the last pre-token border of the left part that no following character can
-move, and grows to the right until one of its own borders that nothing beyond the window can move falls on a border of the
-right part. From there on the right part's tokens stand. The join is associative, hence any tree gives the ids of the whole.
+A text is halved until its parts fit a leaf; leaves are encoded on their own. Two neighbours are joined by encoding a window around
+their border again. On either side it grows until it begins and ends at a border of pre-tokens that nothing beyond can move; the
+tokens outside the window stand. The join gives the ids of the whole text, hence it is associative, and any tree gives the same.
 
-Why a border is stable. Pre-tokens are matched left to right, so what is matched from a border on depends on the text from there
-on only. A match over [i, j) looks at most at character j + 1 (white space gives its last character back to a following word)
-and at most at i + 2 (contractions of up to three characters). If j + 2 and i + 3 are within the known text, the match is final.
+Why a border is certain. No pre-token holds a letter or digit with white space after it, a letter with a digit or punctuation after
+it, or anything across such a place: white space only begins a pre-token or is one by itself, contractions end with their letters.
+Whatever precedes, a pre-token ends there, and the next one is matched from there on, without regard to what was before.
 
 Null and empty texts have no tokens: an empty list of ids.
 """
@@ -28,9 +27,9 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a leaf, and of the first window on either side of a border.
-LEAF, WINDOW = 1 << 14, 64
-AHEAD, CONTRACTION = 2, 3
+#: Characters of a leaf, and of the first window to the left of a border.
+LEAF, WINDOW = 256, 32
+CERTAIN = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \t\r\n])|(?<=\p{L})(?=[\p{N}\p{P}])")
 
 
 @lru_cache(maxsize=4)
@@ -41,78 +40,41 @@ def encoder(path: str = TOKENIZER, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=4)
-def token_bytes(path: str = TOKENIZER) -> np.ndarray:
-    """Length in bytes of every token."""
-    e = encoder(path)
-    out = np.zeros(e.n_vocab + 1, np.int64)
-    for b, i in e._mergeable_ranks.items():
-        out[i] = len(b)
-    return out
-
-
-_word = regex.compile(PATTERN)
-
-
 class Part:
-    """A stretch of text with its pre-token borders (character offsets) and the ids before each of them."""
+    """A stretch of text and its ids."""
 
-    __slots__ = ("text", "ids", "borders", "before")
+    __slots__ = ("text", "ids")
 
-    def __init__(self, text: str, ids: np.ndarray, borders: np.ndarray, before: np.ndarray) -> None:
-        self.text, self.ids, self.borders, self.before = text, ids, borders, before
+    def __init__(self, text: str, ids: list[int]) -> None:
+        self.text, self.ids = text, ids
 
 
 def leaf(text: str, path: str = TOKENIZER) -> Part:
-    """Encode a stretch on its own. Borders are pre-token starts and the end."""
-    ends = np.fromiter((m.end() for m in _word.finditer(text)), np.int64)
-    ids = np.array(encoder(path).encode_ordinary(text), np.int64)
-    borders = np.concatenate([np.zeros(1, np.int64), ends])
-    data = text.encode("utf-8", "surrogatepass")
-    if len(data) == len(text):
-        at = borders
-    else:
-        raw = np.frombuffer(data, np.uint8)
-        starts = np.flatnonzero((raw & 0xC0) != 0x80)
-        at = np.append(starts, len(data))[borders]
-    cum = np.concatenate([np.zeros(1, np.int64), np.cumsum(token_bytes(path)[ids])])
-    return Part(text, ids, borders, np.searchsorted(cum, at))
-
-
-def _stable(borders: np.ndarray, n: int) -> int:
-    """How many borders (from the first) of a text of n known characters no continuation can move."""
-    start, end = borders[:-1], borders[1:]
-    bad = np.flatnonzero((end + AHEAD > n) | (start + CONTRACTION > n))
-    return 1 + (int(bad[0]) if len(bad) else len(end))
+    return Part(text, encoder(path).encode_ordinary(text))
+
+
+def last_border(text: str) -> int:
+    """The last certain border, 0 if there is none; looked for in windows that grow from the end."""
+    size = WINDOW
+    while True:
+        begin = max(1, len(text) - size)
+        found = [m.start() for m in CERTAIN.finditer(text, begin)]
+        if found or begin == 1:
+            return found[-1] if found else 0
+        size *= 2
 
 
 def join(a: Part, b: Part, path: str = TOKENIZER) -> Part:
     """The monoid's product: the part over both stretches."""
     if not a.text or not b.text:
         return b if not a.text else a
-    k = _stable(a.borders, len(a.text)) - 1
-    p = int(a.borders[k])
-    tail = a.text[p:]
-    size = WINDOW
-    while True:
-        size = min(size, len(b.text))
-        w = leaf(tail + b.text[:size], path)
-        whole = size == len(b.text)
-        sure = len(w.borders) if whole else _stable(w.borders, len(w.text))
-        inside = w.borders[:sure] - len(tail)
-        hit = np.flatnonzero(inside >= 0)
-        at = np.searchsorted(b.borders, inside[hit])
-        ok = hit[(at < len(b.borders)) & (b.borders[np.minimum(at, len(b.borders) - 1)] == inside[hit])]
-        if len(ok):
-            break
-        size *= 2  # no common border yet (a run longer than the window): look further
-    i = int(ok[0])
-    q = int(np.searchsorted(b.borders, w.borders[i] - len(tail)))
-    na, nw = int(a.before[k]), int(w.before[i])
-    ids = np.concatenate([a.ids[:na], w.ids[:nw], b.ids[b.before[q]:]])
-    borders = np.concatenate([a.borders[:k], w.borders[:i] + p, b.borders[q:] + len(a.text)])
-    before = np.concatenate([a.before[:k], w.before[:i] + na, b.before[q:] - b.before[q] + na + nw])
-    return Part(a.text + b.text, ids, borders, before)
+    encode = encoder(path).encode_ordinary
+    s = last_border(a.text)
+    m = CERTAIN.search(b.text, 1)
+    e = m.start() if m else len(b.text)
+    tail, head = a.text[s:], b.text[:e]
+    stays = len(a.ids) - len(encode(tail)) if s else 0
+    return Part(a.text + b.text, a.ids[:stays] + encode(tail + head) + b.ids[len(encode(head)) if m else len(b.ids) :])
 
 
 def tree(text: str, path: str = TOKENIZER, size: int = LEAF) -> Part:
@@ -123,8 +85,8 @@ def tree(text: str, path: str = TOKENIZER, size: int = LEAF) -> Part:
     return join(tree(text[:half], path, size), tree(text[half:], path, size), path)
 
 
-def encode_texts(texts: list[str | None], path: str = TOKENIZER, size: int = LEAF) -> list[list[int] | np.ndarray]:
-    """Ids of each text; leaves need no borders, so short texts go straight through the encoder."""
+def encode_texts(texts: list[str | None], path: str = TOKENIZER, size: int = LEAF) -> list[list[int]]:
+    """Ids of each text; a tree of a single leaf needs no borders."""
     e = encoder(path)
     return [[] if not t else e.encode_ordinary(t) if len(t) <= size else tree(t, path, size).ids for t in texts]
 

@@ -14,14 +14,31 @@ ALPHABET = ["a", "B", " ", "  ", "\n", "'s", "'re", "'", "r", "e", "1", "é", "
 @given(st.lists(st.sampled_from(ALPHABET), max_size=60), st.integers(1, 9))
 def test_tree_equals_whole(parts, size):
     text = "".join(parts)
-    ids = T.tree(text, size=size).ids.tolist()
+    ids = T.tree(text, size=size).ids
     assert ids == T.encoder().encode_ordinary(text)
     assert T.decode(ids) == text
 
 
 @pytest.mark.parametrize("text", [" " * 5000 + "x", "a" * 5000, "\n" * 3000, "ab " * 4000, "'" * 3001, "日本" * 2500])
 def test_long_runs(text):
-    assert T.tree(text, size=512).ids.tolist() == T.encoder().encode_ordinary(text)
+    assert T.tree(text, size=512).ids == T.encoder().encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(min_size=1, max_size=80), st.integers(1, 20))
+def test_tree_of_any_text(text, size):
+    text = text.encode("utf-8", "ignore").decode()
+    assert T.tree(text, size=size).ids == T.encoder().encode_ordinary(text)
+
+
+def test_certain_borders():
+    """Wherever a text is cut at a certain border, both sides encode as they do together."""
+    rnd = random.Random(8)
+    for _ in range(400):
+        text = "".join(rnd.choice(ALPHABET) for _ in range(30))
+        whole = T.encoder().encode_ordinary(text)
+        for m in T.CERTAIN.finditer(text):
+            assert T.encoder().encode_ordinary(text[: m.start()]) + T.encoder().encode_ordinary(text[m.start() :]) == whole
 
 
 def test_join_is_associative():
@@ -29,7 +46,7 @@ def test_join_is_associative():
     for _ in range(60):
         a, b, c = (T.leaf("".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(12)))) for _ in range(3))
         left, right = T.join(T.join(a, b), c), T.join(a, T.join(b, c))
-        assert left.ids.tolist() == right.ids.tolist() and left.borders.tolist() == right.borders.tolist()
+        assert left.ids == right.ids and left.text == right.text
 
 
 def test_same_as_other_library():
@@ -38,7 +55,7 @@ def test_same_as_other_library():
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     for text in ("Hello  world, it's 42!\n\n  x", "naïve — 日本語 🎉", "<|endoftext|>", " \t\n "):
-        assert T.tree(text, size=4).ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        assert T.tree(text, size=4).ids == t.encode(text, add_special_tokens=False).ids
 
 
 def test_encode_column(spark):
