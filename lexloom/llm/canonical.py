@@ -1,15 +1,19 @@
 """Mapping free-entered values to a canonical list.
 
 1. A multi-pattern automaton over the names (folded to one character form, lower case, with and without their spaces and hyphens as
-   aliases) finds the names mentioned in a value; the longest of overlapping mentions wins. A mention counts if the rest of the
-   value is what people add to a name: an article, a part of speech, a number, an ending, punctuation.
-2. What is left goes to token-set similarity: words regardless of their order, each compared by its character pairs and then by
-   edit distance with transpositions; accepted up to ``max_distance`` edits and ``max_share`` of the letters.
+   aliases) finds the names mentioned in a value, whatever stands around them; the longest of overlapping mentions wins, and of
+   several that do not overlap the longest, then the first. A mention begins and ends with a word (an inflected ending may follow).
+2. What is left goes to token-set similarity: the share of a value's letters that need no edit (transpositions included) to give a
+   name's words, in any order or run together; ``1 - max_share`` or more, at most ``max_distance`` edits, and always one edit in
+   words of three letters or more. Candidates are the names with enough character pairs in common that none within the bound is missed.
+   ``fillers`` (articles before, parts of speech after) and numbers around other words are left out of the comparison.
 3. Values without a match are tried again with escapes and wrong encodings undone, and are else reported as standing for none (0).
+   Paths of files are no values of the list.
 
-Nulls and blanks are no values; a value that is a name already is reported as such by ``exact``. Of equally close names the lowest
-id wins. The list is broadcast in blocks of at most ``BLOCK`` names; the values are mapped where they lie, without a shuffle, and a
-worker remembers the values it has seen, so that a value with a third of all rows costs one look-up a worker.
+Nulls and blanks are no values, and neither are values that are a name byte for byte. Of equally close names the lowest id wins. The
+list is taken in blocks of at most about ``BLOCK`` names, each broadcast and its tables built once per worker; the values are mapped
+where they lie, without a shuffle, and a worker remembers the values it has seen, so that a value with a third of all rows costs one
+look-up a worker.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +36,11 @@ from lexloom.llm.mojibake import candidates
 BLOCK = 200_000
 REMEMBER = 1 << 18
 
-# Articles and infinitive markers before a headword, and parts of speech after it.
-BEFORE = set("a an the to der die das ein eine le la les l un une el los las una".split())
-AFTER = set("n v adj adv noun verb adjective adverb phrase pl sg m f".split())
+# Articles and infinitive markers that stand before a headword, and parts of speech after it.
+BEFORE = frozenset("a an the to der die das ein eine le la les l un une el los las una".split())
+AFTER = frozenset("n v adj adv noun verb adjective adverb phrase pl sg m f".split())
+Fillers = tuple[frozenset[str], frozenset[str]]
+FILLERS: Fillers = (BEFORE, AFTER)
 _ending = re.compile(r"(?:e?s|e?n|.)?")
 _path = re.compile(r"^[\\/].*\.[a-z0-9]{2,5}$", re.I)
 _letters = re.compile(r"[^\W_]+")
@@ -81,13 +89,14 @@ def pairs_of(s: str) -> list[str]:
 class Resolver:
     """One block of the canonical list, ready to resolve values."""
 
-    def __init__(self, ids: list[int], names: list[str], max_distance: int = 3, max_share: float = 0.25) -> None:
+    def __init__(self, ids: list[int], names: list[str], max_distance: int = 3, max_share: float = 0.25, fillers: Fillers = FILLERS) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.names = [ids[i] for i in order], [names[i] for i in order]
         self.exact = set(self.names)
-        self.max_distance, self.max_share = max_distance, max_share
+        self.max_distance, self.max_share, self.fillers = max_distance, max_share, fillers
         self.tokens = [_letters.findall(key_of(n)) for n in self.names]
         self.compact: dict[str, int] = {}
+        self.sets: dict[tuple[str, ...], int] = {}
         self.automaton = ahocorasick.Automaton()
         for i, n in enumerate(self.names):
             key = key_of(n).strip()
@@ -97,6 +106,7 @@ class Resolver:
                     self.automaton.add_word(alias, (len(alias), i))
             if squeezed:
                 self.compact.setdefault(squeezed, i)
+                self.sets.setdefault(tuple(sorted(self.tokens[i])), i)
         self.automaton.make_automaton()
         post: dict[str, list[int]] = {}
         self.sizes = np.zeros(len(self.names))
@@ -119,33 +129,31 @@ class Resolver:
 
     def _by_mention(self, key: str) -> int | None:
         for s, e, i in sorted(self.mentions(key), key=lambda m: m[0] - m[1]):
-            left, right = key[:s], key[e:]
-            head = re.search(r"[^\W_]*$", left)[0]
-            tail = re.match(r"[^\W_]*", right)[0]
-            if len(head) > 1 or not _ending.fullmatch(tail):
-                continue
-            rest = _letters.findall(left[: len(left) - len(head)]) + _letters.findall(right[len(tail) :])
-            if all(w in BEFORE or w in AFTER or w.isdigit() for w in rest):
+            head = re.search(r"[^\W_]*$", key[:s])[0]
+            tail = re.match(r"[^\W_]*", key[e:])[0]
+            if len(head) <= 1 and _ending.fullmatch(tail):
                 return i
         return None
 
+    def _allowed(self, letters: int) -> int:
+        """Edits that keep the similarity."""
+        return max(min(self.max_distance, int(self.max_share * letters), 2 if letters < 15 else 3), int(letters >= 3))
+
     def _near(self, tokens: list[str]) -> tuple[int, int] | None:
-        """(distance, name) of the closest name by token-set similarity."""
+        """(edits, name) of the most similar name, by token sets."""
         whole = "".join(tokens)
-        if len(whole) < 4:
-            return None
-        hits = [self.post[g] for g in set(pairs_of(whole)) if g in self.post]
+        pairs = set(pairs_of(whole))
+        hits = [self.post[g] for g in pairs if g in self.post] if whole else []
         if not hits:
             return None
         common = np.bincount(np.concatenate(hits), minlength=len(self.names))
-        dice = 2 * common / (self.sizes + len(set(pairs_of(whole))))
-        best: tuple[int, int] | None = None
-        n = len(set(pairs_of(whole)))
-        allowed = min(self.max_distance, int(self.max_share * len(whole)), 2 if len(whole) < 15 else 3)
+        n, allowed = len(pairs), self._allowed(len(whole))
         # an edit touches three pairs at most, and words in another order one more at each seam
-        seams = 3 * (len(tokens) > 1)
+        seams = 3 * (len(tokens) - 1)
         near = np.flatnonzero(common >= max(n - 3 * allowed - seams, 1))
-        for i in near[np.argsort(-dice[near], kind="stable")].tolist():
+        dice = 2 * common[near] / (self.sizes[near] + n)
+        best: tuple[int, int] | None = None
+        for i in near[np.argsort(-dice, kind="stable")].tolist():
             most = allowed if best is None else best[0]
             if common[i] < n - 3 * most - seams:
                 continue
@@ -155,28 +163,37 @@ class Resolver:
         return best
 
     def _distance(self, tokens: list[str], whole: str, i: int, most: int) -> int:
+        """Edits between the letters run together, or between the words each with the nearest of the other side, whatever is less."""
         name = self.tokens[i]
         d = edits(whole, "".join(name), most)
-        if d and len(tokens) == len(name) == 2:  # the other order
-            d = min(d, edits(tokens[1] + tokens[0], "".join(name), most))
-        elif d and len(tokens) == len(name) > 2:
-            d = min(d, edits("".join(sorted(tokens)), "".join(sorted(name)), most))
+        if d and len(tokens) == len(name) > 1:
+            left, total = list(name), 0
+            for t in sorted(tokens, key=len, reverse=True):
+                x, k = min((edits(t, u, most), k) for k, u in enumerate(left))
+                total += x
+                left.pop(k)
+                if total >= d:
+                    break
+            d = min(d, total)
         return d
 
     def _plain(self, value: str) -> tuple[int, int] | None:
         key = key_of(value)
         if _path.match(key.strip()):
             return None
-        i = self._by_mention(key)
-        if i is None:
-            tokens = _letters.findall(key)
-            while tokens and (tokens[0] in BEFORE or tokens[0].isdigit()) and len(tokens) > 1:
-                tokens = tokens[1:]
-            while tokens and (tokens[-1] in AFTER or tokens[-1].isdigit()) and len(tokens) > 1:
-                tokens = tokens[:-1]
-            i = self._by_mention("".join(tokens))
-            return (0, i) if i is not None else self._near(tokens)
-        return 0, i
+        tokens = _letters.findall(key)
+        # a name's own words need no mention
+        i = self.sets.get(tuple(sorted(tokens)))
+        i = self._by_mention(key) if i is None else i
+        if i is not None:
+            return 0, i
+        before, after = self.fillers
+        while len(tokens) > 1 and (tokens[0] in before or tokens[0].isdigit()):
+            tokens = tokens[1:]
+        while len(tokens) > 1 and (tokens[-1] in after or tokens[-1].isdigit()):
+            tokens = tokens[:-1]
+        i = self._by_mention("".join(tokens))
+        return (0, i) if i is not None else self._near(tokens)
 
     def resolve(self, value: str) -> tuple[int, int] | None:
         """(distance, index of the name) or None."""
@@ -199,53 +216,65 @@ class Resolver:
         return got
 
 
-def map_values(values: DataFrame, names: DataFrame, id_col: str, name_col: str, max_distance: int = 3, block: int = BLOCK) -> DataFrame:
-    """values(src, row_id, value) with ref_id, without nulls, blanks and values that are names already."""
-    listed = names.select(F.col(id_col).cast("long").alias("i"), F.col(name_col).cast("string").alias("n")).where("n is not null")
-    rows = listed.orderBy("i", "n").toPandas()  # the list is bounded; a long one is taken block by block
+def map_values(
+    values: DataFrame, names: DataFrame, id_col: str, name_col: str, max_distance: int = 3, block: int = BLOCK, fillers: Fillers = FILLERS, with_value: bool = False
+) -> DataFrame:
+    """values(src, row_id, value) with ref_id and distance (and value), without nulls, blanks and values that are names already.
+
+    Repeated rows give repeated rows as long as the list fits a block; blocks are merged per src, row_id and value.
+    """
+    listed = names.select(F.col(id_col).cast("long").alias("i"), F.col(name_col).cast("string").alias("n")).where("i is not null and n is not null")
     source = values.select("src", F.col("row_id").cast("long"), F.col("value").cast("string")).where("value is not null")
+    blocks = max(1, -(-listed.count() // block))
+    schema = "src string, row_id long, ref_id long, distance int" + ", value string" * (with_value or blocks > 1)
     outs = []
-    whole = source.sparkSession.sparkContext.broadcast(set(rows["n"]))
-    for start in range(0, max(len(rows), 1), block):
-        part = rows.iloc[start : start + block]
-        sent = source.sparkSession.sparkContext.broadcast((part["i"].tolist(), part["n"].tolist()))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            resolver = _resolver(sent, max_distance)
-            names = whole.value
+    for k in range(blocks):
+        part = listed.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == k).orderBy("i", "n").toPandas()
+        sent, key = source.sparkSession.sparkContext.broadcast((part["i"].tolist(), part["n"].tolist())), uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            resolver = _resolver(sent, key, max_distance, fillers)
             for b in batches:
                 keep, ids, far = [], [], []
-                for k, v in enumerate(b.column(2).to_pylist()):
-                    if v in names or not v.strip():
+                for at, v in enumerate(b.column(2).to_pylist()):
+                    if not v.strip():
                         continue
-                    d, i = resolver(v)
-                    keep.append(k)
+                    if v in resolver.exact:
+                        if blocks == 1:
+                            continue
+                        d, i = NAME, 0  # a name: no block may map it
+                    else:
+                        d, i = resolver(v)
+                    keep.append(at)
                     ids.append(i)
                     far.append(d)
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(ids, pa.int64()), pa.array(far, pa.int32())], names=["src", "row_id", "ref_id", "distance"]
-                )
-
-        outs.append(source.mapInArrow(run, "src string, row_id long, ref_id long, distance int"))
-    if len(outs) == 1:
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array(ids, pa.int64()), pa.array(far, pa.int32())]
+                names_ = ["src", "row_id", "ref_id", "distance"]
+                if with_value or blocks > 1:
+                    cols.append(b.column(2).take(at))
+                    names_.append("value")
+                yield pa.RecordBatch.from_arrays(cols, names=names_)
+
+        outs.append(source.mapInArrow(run, schema))
+    if blocks == 1:
         return outs[0]
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    best = out.groupBy("src", "row_id").agg(F.min(F.struct("distance", "ref_id")).alias("b"))
-    return best.select("src", "row_id", "b.ref_id", "b.distance")
+    best = out.groupBy("src", "row_id", "value").agg(F.min(F.struct("distance", "ref_id")).alias("b")).where(F.col("b.distance") != NAME)
+    return best.select("src", "row_id", "b.ref_id", "b.distance", *["value"] * with_value)
 
 
-_resolvers: dict[tuple, Resolver] = {}
+#: Distance that marks a value as a name.
+NAME = -1
+_resolvers: dict[str, Resolver] = {}
 
 
-def _resolver(sent, max_distance: int) -> Resolver:
-    """One resolver per worker and block, kept over its tasks."""
-    ids, names = sent.value
-    key = (len(ids), hash(tuple(ids)), hash(tuple(names)), max_distance)
-    got = _resolvers.get(key)
-    if got is None:
-        _resolvers.clear()
-        got = _resolvers[key] = Resolver(ids, names, max_distance)
-    return got
+def _resolver(sent: Broadcast, key: str, max_distance: int, fillers: Fillers) -> Resolver:
+    """One resolver per worker and block, the last few kept over their tasks."""
+    if key not in _resolvers:
+        while len(_resolvers) >= 4:
+            _resolvers.pop(next(iter(_resolvers)))
+        _resolvers[key] = Resolver(*sent.value, max_distance, fillers=fillers)
+    return _resolvers[key]

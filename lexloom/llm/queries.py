@@ -140,9 +140,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that stand for no entry, with the number of rows that have them."""
-    got = p1_found(spark, sf_dir).where("ref_id = 0").select("src", "row_id")
-    values = entered_values(spark, sf_dir).dropDuplicates(["src", "row_id"])
-    return values.join(got, ["src", "row_id"]).groupBy("src", "value").agg(F.count(F.lit(1)).alias("rows"))
+    got = map_values(entered_values(spark, sf_dir), table(spark, sf_dir, "ref_headword"), "ref_id", "canonical", with_value=True)
+    return got.where("ref_id = 0").groupBy("src", "value").agg(F.countDistinct("row_id").alias("rows"))
 
 
 def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,11 +168,18 @@ def test_resolver():
     cases = {
         "TRUGICHEELK": 1, "the trugîcheèlk": 1, "trugîcheèlk (v.)": 1, "trugicheelks": 1, "trugîchelk": 1, "rtugîcheèlk": 1, "tru gicheelk": 1, "trugîch\u200beèlk\u00a0": 1,
         "feasiovaild, pluachöston": 2, "pluachöston%20feasiovaild": 2, "pluachoston feasiovald": 2, "tuasmeibast droziopreel": 3, "das Kuahöpirm [1]": 4, "mabul\u0456or": 5,
-        "tru\u00c3\u00a9": 0, "no 78574": 0, "/css/mabulior.css": 0, "unrelated word": 0, "mabulior feasiovaild": 0, "x": 0, "...": 0, "mabulior\n": 5,
+        "tru\u00c3\u00a9": 0, "no 78574": 0, "/css/mabulior.css": 0, "unrelated word": 0, "mabulior feasiovaild": 5, "the mabulior of kings": 5, "see mabulior in town": 5, "feasiovaild other": 0, "xmabuliorxyz": 0, "x": 0, "...": 0, "mabulior\n": 5,
     }
     assert {v: r(v)[1] for v in cases} == cases
 
 
+def test_short_values_and_token_sets():
+    r = C.Resolver([1, 2, 3, 4], ["cat", "oak", "red oak tree", "ab"])
+    cases = {"cta": 1, "okk": 2, "ca": 1, "ct": 0, "tree, oak red": 3, "tre oka red": 3, "redoaktree": 3, "red oak": 2, "ab": 4, "ba": 0, "xx": 0, "": 0}
+    cases |= {"ca": 0}  # two letters of three: too short for an edit
+    assert {v: r(v)[1] for v in cases} == cases
+
+
 def test_edits_against_brute_force():
     rnd = random.Random(2)
 
