@@ -141,7 +141,7 @@ def lemma_candidates(c: Column | str) -> Column:
         ]
     parts += [F.when(ends("er", 4), _strip(w, 2)), F.when(ends("est", 5), _strip(w, 3))]
     found = F.array_distinct(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")))
-    return F.when(s.rlike(r"^[A-Za-z0-9'\-]+$"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(s.rlike(r"^[A-Za-z0-9'\-]+\z"), found).otherwise(F.array().cast("array<string>"))
 
 
 def query_candidates(c: Column | str) -> Column:

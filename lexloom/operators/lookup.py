@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.normalize import ascii_fold, canonical_normalize, query_candidates
+from lexloom.session import cut
 
 
 def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -88,36 +89,40 @@ def first_hit(entries: DataFrame, catalog: DataFrame, word: str = "word") -> Dat
     return _first(ranked, [word], [F.col("ord")])
 
 
+def _hops(starts: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that have ended, rows still on their way) of node, chain, at after at most ``limit`` hops; only the latter are joined."""
+    link = links.select(F.col("child").alias("at"), F.col("parent").alias("_p"))
+    here = starts.select("node").distinct().select("node", F.array("node").alias("chain"), F.col("node").alias("at")).where("at is not null")
+    ended = None
+    for _ in range(limit):
+        after = cut(here.join(link, "at", "left"))
+        stop = after.where("_p is null").select("node", "chain")
+        ended = stop if ended is None else ended.unionByName(stop)
+        here = after.where("_p is not null").select("node", F.concat("chain", F.array("_p")).alias("chain"), F.col("_p").alias("at"))
+    return ended, here.select("node", "chain")
+
+
 def follow_redirects(starts: DataFrame, links: DataFrame, limit: int) -> DataFrame:
     """starts(node) along links(child, parent): node, last, hops, status (``ok`` or ``too_many_redirects``).
 
     One join per hop up to the limit, over the rows still on their way.
     """
-    link = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    here = starts.select("node").distinct().withColumn("last", F.col("node")).withColumn("hops", F.lit(0))
-    for _ in range(limit + 1):
-        here = here.join(link, here["last"] == link["_c"], "left").select(
-            "node", F.coalesce("_p", "last").alias("last"), (F.col("hops") + F.when(F.col("_p").isNotNull(), 1).otherwise(0)).alias("hops")
-        )
-    return here.withColumn("status", F.when(F.col("hops") > limit, "too_many_redirects").otherwise("ok"))
+    ended, moving = _hops(starts, links, limit + 1)
+    got = ended.unionByName(moving).select("node", F.element_at("chain", -1).alias("last"), (F.size("chain") - 1).alias("hops"))
+    return got.withColumn("status", F.when(F.col("hops") > limit, "too_many_redirects").otherwise("ok"))
 
 
 def trace(starts: DataFrame, links: DataFrame, limit: int = 10) -> DataFrame:
     """node, chain (ids passed), depth: at most ``limit`` hops, cycles stop there."""
-    link = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    here = starts.select("node").distinct().withColumn("chain", F.array("node")).withColumn("_at", F.col("node"))
-    for _ in range(limit):
-        here = here.join(link, here["_at"] == link["_c"], "left").select(
-            "node", F.when(F.col("_p").isNotNull(), F.concat("chain", F.array("_p"))).otherwise(F.col("chain")).alias("chain"), F.col("_p").alias("_at")
-        )
-    return here.select("node", "chain", (F.size("chain") - 1).alias("depth"))
+    ended, moving = _hops(starts, links, limit)
+    return ended.unionByName(moving).select("node", "chain", (F.size("chain") - 1).alias("depth"))
 
 
 def random_headwords(index: DataFrame, seed: int, n: int = 1) -> DataFrame:
     """n displayable headwords, the same for the same seed."""
     from lexloom.functions.text import is_displayable
 
-    return index.where(is_displayable("text")).select("dict_id", "id", "text").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return index.where(is_displayable("text")).select("dict_id", "id", "text").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexloom.functions.normalize import trim_unicode
 from lexloom.operators.lookup import top_per
+from lexloom.session import cut
 
 SCHEMA_VERSION = 4
 
@@ -92,16 +93,26 @@ def debounce(events: DataFrame, ts: str, gap: str, keys: list[str] | None = None
 def block_offsets(blocks: DataFrame, part: str, order: str, size: str) -> DataFrame:
     """blocks with ``offset``: sum of the sizes before, within each part.
 
-    Two levels: sums of stretches of 4096 blocks, then within the stretch; no part is one task.
+    Blocks are sorted into ranges, none of them a whole part if that is large; a range is summed by itself, and gets what the ranges
+    before it hold of its first part, a table with one row a range.
     """
-    from pyspark.sql import Window
-
-    b = blocks.withColumn("_s", F.expr(f"{order} div 4096"))
-    sums = b.groupBy(part, "_s").agg(F.sum(size).alias("_t"))
-    before = sums.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy(part, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("_i", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    return b.join(before.select(part, "_s", "_b"), [part, "_s"]).withColumn("offset", (F.col("_b") + F.col("_i")).cast("long")).drop("_s", "_b", "_i")
+    placed = blocks.repartitionByRange(part, order).sortWithinPartitions(part, order)
+    placed = cut(placed.withColumn("_r", F.spark_partition_id()))
+    # of each range only its last part goes on into the next one
+    edges = placed.groupBy("_r").agg(F.min(part).alias("first"), F.max(part).alias("last"))
+    tails = placed.join(F.broadcast(edges.select("_r", "last")), "_r").where(F.col(part).eqNullSafe(F.col("last"))).groupBy("_r").agg(F.sum(size).alias("tail"))
+    carried: dict[int, int] = {}
+    before, of = 0, None
+    for r in sorted(edges.join(tails, "_r", "left").collect(), key=lambda r: r["_r"]):
+        carried[r["_r"]] = before if of == r["first"] else 0
+        before = (r["tail"] or 0) + (before if of == r["last"] == r["first"] else 0)
+        of = r["last"]
+    spark = blocks.sparkSession
+    carry = spark.createDataFrame(list(carried.items()) or [(-1, 0)], "_r int, _c long")
+    running = Window.partitionBy("_r", part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    got = placed.join(F.broadcast(edges.select("_r", "first")), "_r").join(F.broadcast(carry), "_r")
+    offset = F.coalesce(F.sum(size).over(running), F.lit(0)) + F.when(F.col(part).eqNullSafe(F.col("first")), F.col("_c")).otherwise(0)
+    return got.withColumn("offset", offset.cast("long")).drop("_r", "first", "_c")
 
 
 def record_locations(entries: DataFrame, block_size: int) -> DataFrame:

@@ -18,6 +18,7 @@ from lexloom.operators import state as S
 from lexloom.operators import suggest as G
 from lexloom.plans.data import table
 from lexloom.plans.references import redirect_links
+from lexloom.session import cut
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,12 +161,12 @@ def resource_lookup(spark, sf):
 
 
 def redirect_chase(spark, sf):
-    links = redirect_links(spark, sf)
+    links = cut(redirect_links(spark, sf))
     return K.follow_redirects(links.select(F.col("child").alias("node")), links, 5)
 
 
 def redirect_trace(spark, sf):
-    links = redirect_links(spark, sf)
+    links = cut(redirect_links(spark, sf))
     got = K.trace(links.select(F.col("child").alias("node")), links)
     return got.select("node", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"), "depth")
 
@@ -194,6 +195,25 @@ def fts_bm25(spark, sf):
     return got.select("term", "dict_id", "id", F.round("score", 6).alias("score"))
 
 
+def searched(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical headwords, several words included, and their first four letters."""
+    return table(spark, sf, "ref_headword").select(F.col("canonical").alias("prefix")).unionByName(prefixes(spark, sf)).distinct()
+
+
+def fts_match(spark, sf):
+    return G.fts_match(searched(spark, sf), index(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+def suggest_fts(spark, sf):
+    return G.suggest(searched(spark, sf), index(spark, sf))
+
+
+def fts_trigram_match(spark, sf):
+    """Headwords that hold four inner letters of a canonical headword."""
+    terms = table(spark, sf, "ref_headword").select(F.substring("canonical", 3, 4).alias("term")).distinct()
+    return G.fts_trigram_match(terms, index(spark, sf))
+
+
 def fts_trigrams(spark, sf):
     rows = index(spark, sf).where(T.is_fts_admitted("text")).select("dict_id", F.explode(T.trigrams("text")).alias("gram"))
     return rows.groupBy("dict_id", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -318,7 +338,7 @@ QUERIES = [
     normalize_headwords, fold_diacritics, lookup_keys, word_predicates, lemma_candidates, query_candidates, strip_tags, sanitize, escape_html, percent_encode,
     link_target, link_classify, resource_paths, rewrite_html, scope_css, section_meta, lookup_exact, lookup_nocase, lookup_normalized, lookup_cascade,
     entry_lookup, cross_dict_first_hit, filtered_lookup, resource_lookup, redirect_chase, redirect_trace, random_headword, suggest_prefix, suggest_merged,
-    fts_postings, fts_bm25, fts_trigrams, fuzzy_suggest, fuzzy_cross_dict, suggest_else_fuzzy, dedup_styles, render_aggregate, query_json, hit_counts,
+    fts_postings, fts_bm25, fts_match, suggest_fts, fts_trigram_match, fts_trigrams, fuzzy_suggest, fuzzy_cross_dict, suggest_else_fuzzy, dedup_styles, render_aggregate, query_json, hit_counts,
     dict_list, dict_ids, index_stats, index_status, change_set, favorites_upsert, favorites_list, history_top20, debounce_sessions, cache_keys,
     cache_admission, block_prefix_sum, record_locations, inflected_matches,
 ]

@@ -3,8 +3,78 @@ with state, or a quadratic comparison; those are tested against brute force."""
 
 from __future__ import annotations
 
-from lexloom.functions.normalize import DASHES, FOLD_FROM, FOLD_TO, LOWER, QUOTES, UPPER
-from lexloom.functions.text import CONTENT_TYPES, OCTET_STREAM
+# Fixed values, written out here so that a wrong entry of the engine's own tables does not agree with itself.
+FOLDED = {
+    "àáâãäåāăą": "a",
+    "çćĉċč": "c",
+    "ďđ": "d",
+    "èéêëēĕėęě": "e",
+    "ƒ": "f",
+    "ĝğġģ": "g",
+    "ĥħ": "h",
+    "ìíîïĩīĭįı": "i",
+    "ĵ": "j",
+    "ķ": "k",
+    "ĺļľŀł": "l",
+    "ñńņňŉ": "n",
+    "òóôõöøōŏő": "o",
+    "ŕŗř": "r",
+    "śŝşš": "s",
+    "ţťŧ": "t",
+    "ùúûüũūŭůűų": "u",
+    "ŵ": "w",
+    "ýÿŷ": "y",
+    "źżž": "z",
+}
+FOLD_FROM = "".join(FOLDED)
+FOLD_TO = "".join(to * len(chars) for chars, to in FOLDED.items())
+QUOTES, DASHES = "‘’‛′", "‐‑‒–—−"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+MEDIA_TYPES = {
+    "text/html": "html htm",
+    "text/css": "css",
+    "text/javascript": "js",
+    "application/json": "json",
+    "text/xml": "xml",
+    "text/plain": "txt",
+    "image/png": "png",
+    "image/jpeg": "jpg jpeg",
+    "image/gif": "gif",
+    "image/bmp": "bmp",
+    "image/webp": "webp",
+    "image/svg+xml": "svg",
+    "image/x-icon": "ico",
+    "audio/mpeg": "mp3",
+    "audio/wav": "wav",
+    "audio/ogg": "ogg oga spx",
+    "audio/flac": "flac",
+    "audio/aac": "aac",
+    "audio/m4a": "m4a",
+    "video/mp4": "mp4",
+    "video/webm": "webm",
+    "font/ttf": "ttf",
+    "font/otf": "otf",
+    "font/woff": "woff",
+    "font/woff2": "woff2",
+    "application/vnd.ms-fontobject": "eot",
+    "application/pdf": "pdf",
+}
+CONTENT_TYPES = {ext: kind for kind, exts in MEDIA_TYPES.items() for ext in exts.split()}
+OCTET_STREAM = "application/octet-stream"
+RESOURCE_EXTENSIONS = "jpg jpeg png gif bmp webp svg ico css js wav mp3 ogg oga flac aac m4a mp4 webm ttf otf woff woff2 eot pdf".split()
+IRREGULAR = {
+    "go": "went gone",
+    "do": "did done",
+    "be": "was were is are am",
+    "good": "better best",
+    "bad": "worse worst",
+    "child": "children",
+    "mouse": "mice",
+    "tooth": "teeth",
+    "foot": "feet",
+    "man": "men",
+    "woman": "women",
+}
 
 
 def q(text: str) -> str:
@@ -62,7 +132,87 @@ HITS = f"""{PREFIXES}, hits as (select w.prefix, i.dict_id, i.id, i.text from wa
 TOKENS = rf"regexp_extract_all({fold(low('text'))}, '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 POSTINGS = f"docs as (select dict_id, id, {TOKENS} as ts from mdx_index where {FTS}), posts as (select dict_id, id, len(ts) as dl, unnest(ts) as token from docs), postings as (select dict_id, id, dl, token, count(*) as tf from posts group by all)"
 
+#: English base forms of the words of a table seeds(word, n, s): word, n, l, with null and repeated ones among l.
+FORMS = "map([" + ",".join(q(w) for ws in IRREGULAR.values() for w in ws.split()) + "],[" + ",".join(q(k) for k, ws in IRREGULAR.items() for _ in ws.split()) + "])[w]"
+
+
+def stem(n: int) -> str:
+    return f"left(w, length(w) - {n})"
+
+
+def undoubled(x: str) -> str:
+    return f"case when length({x}) > 1 and right({x}, 1) = substring({x}, length({x}) - 1, 1) and right({x}, 1) between 'b' and 'z' then left({x}, length({x}) - 1) end"
+
+
+def ended(suffix: str, longer: int, value: str) -> str:
+    return f"case when w like '%{suffix}' and length(w) > {longer} then {value} end"
+
+
+BARE = "regexp_replace(seed, '^ +| +$', '', 'g')"
+LEMMAS = f"""lemmas as (select word, n, case when regexp_full_match(s, '[A-Za-z0-9''\\-]+') then [w, {FORMS}, case when w like '%''s' then {stem(2)} end, case when w like '%s''' then {stem(2)} end,
+ {ended('ies', 4, stem(3) + " || 'y'")}, {ended('ves', 4, stem(3) + " || 'f'")}, {ended('ves', 4, stem(3) + " || 'fe'")}, {ended('es', 3, stem(2))}, {ended('s', 3, stem(1))},
+ {ended('ing', 5, stem(3))}, {ended('ing', 5, undoubled(stem(3)))}, {ended('ing', 5, stem(3) + " || 'e'")}, {ended('ed', 4, stem(2))}, {ended('ed', 4, undoubled(stem(2)))}, {ended('ed', 4, stem(2) + " || 'e'")},
+ {ended('er', 4, stem(2))}, {ended('est', 5, stem(3))}] else [] end as l from (select word, n, regexp_replace(seed, '^ +| +$', '', 'g') as s, {nocase(BARE)} as w from seeds))"""
+CANDIDATES = rf"""{WORDS}, raw as (select word, {trim('word')} as r from words), cut as (select word, r, regexp_replace(regexp_replace(regexp_replace(regexp_replace(r, '^/+', ''), '^\\+', ''), '/+$', ''), '\\+$', '') as c from raw where r <> ''),
+ keyed0 as (select word, r, c, trim(lower(translate(translate(regexp_replace(regexp_replace(c, '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'), {q(QUOTES + DASHES)}, {q("'" * len(QUOTES) + "-" * len(DASHES))}), 'Σ', 'σ'))) as k from cut),
+ folded as (select *, {fold('k')} as f from keyed0), spaced as (select *, trim(regexp_replace(f, '[^\p{{L}}\p{{N}}'']+', ' ', 'g')) as p from folded),
+ listed as (select word, [r, c, k, f, p, replace(p, ' ', '')] as l from spaced), seeds as (select word, min(n) as n, seed from (select word, unnest(l) as seed, generate_subscripts(l, 1) as n from listed) where seed <> '' group by word, seed),
+ {LEMMAS}, ways as (select word, 0 as g, n, 0 as m, seed as candidate from seeds union all select word, 1, n, m, x from (select word, n, unnest(l) as x, generate_subscripts(l, 1) as m from lemmas) where x <> ''),
+ once as (select word, candidate, min((g, n, m)) as o from ways group by word, candidate),
+ candidates as (select word, (row_number() over (partition by word order by o) - 1)::int as pos, candidate from once qualify pos < 32)"""
+LINK = r"""(?i)\b(src|href|xlink:href|data-src|data-href|poster)\s*=\s*["''][^"'']+["'']"""
+EXTENSION = "(" + "|".join(RESOURCE_EXTENSIONS) + ")"
+ASKED_FTS = "asked as (select distinct canonical as prefix from ref_headword union select distinct substring(canonical, 1, 4) from ref_headword)"
+
+
+def match(asked: str) -> str:
+    """fts(prefix, dict_id, id, text, score) of a table asked(prefix)."""
+    terms = rf"regexp_extract_all({fold(low('prefix'))}, '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+    return f"""{asked}, listed as (select prefix, {terms} as ts from asked where not regexp_matches(prefix, '(^|[^\\p{{L}}\\p{{N}}])(AND|OR|NOT)($|[^\\p{{L}}\\p{{N}}])')), wantedt as (select prefix, len(ts) as terms, unnest(ts) as term from listed),
+ docs as (select dict_id, id, text, {TOKENS} as ts from mdx_index where {FTS}), posts as (select dict_id, id, text, len(ts) as dl, unnest(ts) as token from docs), postings as (select dict_id, id, text, dl, token, count(*) as tf from posts group by all),
+ st as (select dict_id, count(*) as n, avg(dl) as a from (select distinct dict_id, id, dl from postings) group by 1), terms as (select distinct term from wantedt),
+ h as (select term, dict_id, id, text, dl, sum(tf) as tf from terms join postings on starts_with(token, term) group by all), f as (select *, count(*) over (partition by term, dict_id) as df from h),
+ sc as (select term, dict_id, id, text, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) as score from f join st using (dict_id)),
+ fts as (select prefix, dict_id, id, text, sum(score) as score from wantedt join sc using (term) group by prefix, dict_id, id, text, terms having count(*) = terms)"""
+
+
+def score(word: str, rank: str) -> str:
+    return f"""(case when {low(word)} = {low('prefix')} then 1000 else 0 end + case when starts_with({low(word)}, {low('prefix')}) then 100 else 0 end
+      + case when starts_with({word}, upper(substring(prefix, 1, 1))) then 20 else 0 end + 50 - least(strlen({word}), 50) + case when contains({word}, ' ') then 0 else 30 end
+      - case when regexp_matches({word}, '\\p{{N}}') then 20 else 0 end - case when regexp_matches({word}, '[,;:]') then 10 else 0 end + {rank})::int"""
+
+
 SQL: dict[str, str] = {
+    "lemma_candidates": f"""with {WORDS}, seeds as (select word, 1 as n, word as seed from words), {LEMMAS}
+     select word, array_to_string(list_filter(l, lambda x, i: x is not null and x <> '' and list_position(l, x) = i), '|') as lemmas from lemmas""",
+    "query_candidates": f"with {CANDIDATES} select word, pos, candidate from candidates",
+    "entry_lookup": f"""with {CANDIDATES}, {KEYED}, asked as (select word, 0 as step, 0 as pos, 2 as kind, {norm('word')} as key from words where {norm('word')} <> '' union all select word, 1, pos, 0, candidate from candidates
+     union all select word, 1, pos, 1, {nocase('candidate')} from candidates union all select word, 1, pos, 2, candidate from candidates)
+     select word, dict_id, step, pos, kind, id from asked join keyed using (kind, key) qualify row_number() over (partition by word, dict_id order by step, pos, kind, id) = 1""",
+    "link_classify": rf"""with m as (select section_id, unnest(regexp_extract_all(body, '{LINK}', 0)) as m from aggregate_section), a as (select section_id, regexp_extract(m, '^([^\s=]+)', 1) as attr, regexp_extract(m, '(?s)["''](.*)["'']$', 1) as value from m),
+     b as (select *, lower(attr) as la, {trim('value')} as v from a), c as (select *, regexp_extract(v, '(?s)^([^?#]*)', 1) as base, regexp_extract(v, '(?s)^[^?#]*(.*)$', 1) as suffix, regexp_extract(substring(v, 9), '(?s)^([^?#]*)', 1) as ebase from b),
+     d as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace({trim('ebase')}, '^/+', ''), '/+$', ''), '^\\+', ''), '\\+$', '') as eword, regexp_replace(regexp_replace(regexp_replace(regexp_replace({trim('base')}, '^/+', ''), '/+$', ''), '^\\+', ''), '\\+$', '') as bword,
+      array_to_string(list_filter(string_split(replace({trim('base')}, '\', '/'), '/'), lambda x: x not in ('', '.', '..')), '/') as path, regexp_replace(regexp_replace(base, '^/+', ''), '^\\+', '') as inside from c),
+     e as (select *, regexp_matches(regexp_extract(base, '([^/]*)$', 1), '(?i)^.+\.{EXTENSION}$') as ext, inside <> '' and not regexp_matches(inside, '[/\\]') and not regexp_matches(inside, '(?i)^.+\.{EXTENSION}$') as single from d),
+     f as (select *, case when regexp_matches(base, '^(\./|\.\./|\\|/)') or contains(base, '\') then not single else contains(base, '/') or ext end as looks from e)
+     select section_id, attr, value, case when v = '' then 'none' when regexp_matches(v, '(?i)^(https?://|data:|javascript:|mailto:|tel:|about:|//|#)') then 'external' when starts_with(v, 'sound://') then 'audio'
+      when starts_with(v, 'entry://') then case when eword <> '' then 'entry' else 'fragment' end when base = '' then case when suffix <> '' then 'fragment' else 'none' end
+      when la in ('src', 'data-src', 'poster', 'xlink:href') or looks then case when path <> '' then 'resource' else 'none' end when bword <> '' then 'entry' when suffix <> '' then 'fragment' else 'none' end as kind, count(*) as n from f group by all""",
+    "random_headword": f"select dict_id, id, text from mdx_index where {DISPLAY} order by md5(id || ':42'), id limit 10",
+    "fts_trigrams": f"select dict_id, gram, count(*) as n from (select dict_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) as gram from (select dict_id, {low('text')} as t from mdx_index where {FTS})) group by all",
+    "fts_match": f"with {match(ASKED_FTS)} select prefix, dict_id, id, text, round(score, 6)::double as score from fts",
+    "fts_trigram_match": f"with asked as (select distinct substring(canonical, 3, 4) as term from ref_headword) select term, dict_id, id from asked join mdx_index on contains({low('text')}, {low('term')}) where {FTS}",
+    "suggest_fts": f"""with {match(ASKED_FTS.replace("asked as", "asked0 as") + ", asked as (select distinct trim(prefix) as prefix from asked0 where strlen(trim(prefix)) >= 2)")},
+     top as (select * from fts qualify row_number() over (partition by prefix, dict_id order by score, id) <= 200), kept as (select prefix, dict_id, text as word, {score('text', 'round(-score * 1000)')} as score from top where {SUGGEST}),
+     lows as (select prefix, {norm('prefix')} as lo from asked where {norm('prefix')} <> ''), ranked as (select w.prefix, i.dict_id, i.id, i.text, row_number() over (partition by w.prefix, i.dict_id order by length(text), text, id) as r from lows w join mdx_index i on starts_with(i.normalized, w.lo) where length(i.text) < 50 qualify r <= 200),
+     rest as (select prefix, dict_id, text as word, {score('text', '-(r - 1) * 1000')} as score from ranked where {SUGGEST} and not exists (select 1 from kept k where k.prefix = ranked.prefix and k.dict_id = ranked.dict_id)),
+     m as (select prefix, word, max(score) as score from (select prefix, word, score from kept union all select prefix, word, score from rest) group by all)
+     select prefix, word, score, row_number() over (partition by prefix order by case when {low('word')} = {low('prefix')} then 0 else 1 end,
+      case when {low('word')} = {low('prefix')} then 0 when {norm('word')} = {norm('prefix')} then 0 else 1 end, case when {low('word')} = {low('prefix')} then 0 else -score end,
+      strlen(word), {low('word')}, word)::int as place from m qualify place <= 10""",
+    "p6_keys": """with r as (select 'aggregate_section' as "table", strftime(fetched_at, '%Y-%m') as period, index_id as k from aggregate_section union all select 'query_json_payload', strftime(created_at, '%Y-%m'), query_id from query_json_payload
+     union all select 'fuzzy_suggestion', null, query_id from fuzzy_suggestion), j as (select *, case when "table" = 'aggregate_section' then k not in (select id from mdx_index where id is not null) else k not in (select query_id from query_form where query_id is not null) end as bad from r where k is not null)
+     select period, "table", count(*) as "references", count(*) filter (bad) as orphans, count(distinct k) filter (bad) as orphan_keys from j group by period, "table" """,
     "normalize_headwords": f"select id, {norm('text')} as norm from mdx_index",
     "fold_diacritics": f"select id, {fold('text')} as folded from mdx_index",
     "lookup_keys": rf"""with {WORDS}, a as (select word, regexp_replace(word, '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g') as c from words),
