@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.tokens import PATTERN, TOKENIZER, encoder, tree
 
 LIMIT, OVERLAP = 1024, 64
+#: Characters of a leaf of the tree by which long texts are encoded here.
+LEAF = 1 << 14
 #: Cut positions are the ends of these matches, from coarse to fine.
 SECTION = regex.compile(r"\n\s*(?=#{1,6} |={2,} ?\S|\\(?:sub)*section\{|[^\n]+\n(?:={3,}|-{3,})[ \t]*(?:\n|$))")
 PARAGRAPH = regex.compile(r"\n[ \t]*\n\s*|\r\n[ \t]*\r\n\s*")
@@ -56,10 +58,8 @@ def borders(text: str, ids: list[int], path: str = TOKENIZER) -> tuple[np.ndarra
 class Cutter:
     """Boundaries and token counts of one text."""
 
-    def __init__(self, text: str, limit: int, overlap: int, path: str) -> None:
+    def __init__(self, text: str, ids: list[int], limit: int, overlap: int, path: str) -> None:
         self.text, self.limit, self.overlap, self.path = text, limit, overlap, path
-        ids = tree(text, path).ids
-        self.total = len(ids)
         self.borders, self.before = borders(text, ids, path)
         self.cuts = [np.fromiter((m.end() for m in rx.finditer(text)), np.int64) for rx in LEVELS]
 
@@ -156,11 +156,10 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, pat
     """Pieces of one text, see Cutter.pieces."""
     if not text:
         return []
-    n = len(encoder(path).encode_ordinary(text)) if len(text) < 8 * limit else limit + 1
-    if n <= limit:
-        return [(0, len(text), n, 0)]
-    cutter = Cutter(text, limit, overlap, path)
-    return cutter.pieces() if cutter.total > limit else [(0, len(text), cutter.total, 0)]
+    ids = tree(text, path, LEAF).ids
+    if len(ids) <= limit:
+        return [(0, len(text), len(ids), 0)]
+    return Cutter(text, ids, limit, overlap, path).pieces()
 
 
 def split_column(
