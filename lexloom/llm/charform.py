@@ -5,10 +5,10 @@ hyphens, nothing invisible, no unusual space at either end. Plain spaces, tabs a
 null, empty stays empty.
 
 ``consistent_forms`` explodes each distinct text that can differ from its form to positioned code points, joins them with the
-(fixed-size, broadcast) decomposition and look-alike tables, orders combining marks by their class, recomposes and rebuilds the
-string. Texts without a character of ``SUSPECT`` and in one script are their own form and take no part in that. All tables come
-from the Unicode data of the Python runtime but the look-alikes, which are listed. ``fold`` is the same form for use inside
-Arrow functions, always in Latin script.
+(fixed-size, broadcast) decomposition, class and look-alike tables, orders combining marks by their class, recomposes starters with
+the marks that follow by the table of composed letters (Hangul by its rule), and rebuilds the string. Texts without a character of
+``SUSPECT`` and in one script are their own form and take no part in that. All tables come from the Unicode data of the Python
+runtime but the look-alikes, which are listed. ``fold`` is the same form for use inside Arrow functions, always in Latin script.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lexloom.session import shuffle_width
 
@@ -94,24 +93,63 @@ def is_suspect(text: Column) -> Column:
     return ~text.rlike(r"^[\x00-\x7F]*$") & (has(_suspect()) | mixed)
 
 
-@F.pandas_udf(StringType())
-def _recompose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else U.normalize("NFC", x))
+@lru_cache(maxsize=1)
+def _composed() -> dict[str, str]:
+    """Two characters and the one they compose to; Hangul goes by rule."""
+    out = {}
+    for n in range(0x80, 0x30000):
+        kind = U.decomposition(chr(n)) if not 0xAC00 <= n <= 0xD7A3 and not 0xD800 <= n <= 0xDFFF else ""
+        parts = kind.split()
+        if len(parts) == 2 and kind[0] != "<" and U.normalize("NFC", chr(n)) == chr(n):
+            out["".join(chr(int(x, 16)) for x in parts)] = chr(n)
+    return out
+
+
+def _char(code: Column) -> Column:
+    """A code point as text: its UTF-32 bytes, decoded."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _pair(first: Column, second: Column) -> Column:
+    """What two characters compose to, null if nothing."""
+    table = _composed()
+    known = F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+    a, b = F.ascii(first), F.ascii(second)
+    syllable = F.when(a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175), _char(0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28)).when(
+        a.between(0xAC00, 0xD7A3) & (F.pmod(a - 0xAC00, F.lit(28)) == 0) & b.between(0x11A8, 0x11C2), _char(a + b - 0x11A7)
+    )
+    return F.when(b.between(0x1161, 0x11C2), syllable).when(second.rlike(r"^\p{M}$"), F.try_element_at(known, F.concat(first, second)))
 
 
-def _mapping(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _recomposed(points: Column) -> Column:
+    """The string of points(e, ccc) in canonical order: each starter takes in what follows and is not kept from it by a mark between."""
+    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("starter"), F.lit("").alias("marks"), F.lit(-1).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        whole = F.when((acc["starter"] != "") & (acc["last"] < x["ccc"]), _pair(acc["starter"], x["e"]))
+        taken = F.struct(acc["done"].alias("done"), whole.alias("starter"), acc["marks"].alias("marks"), acc["last"].alias("last"))
+        next_ = F.struct(F.concat(acc["done"], acc["starter"], acc["marks"]).alias("done"), x["e"].alias("starter"), F.lit("").alias("marks"), F.lit(-1).alias("last"))
+        mark = F.struct(acc["done"].alias("done"), acc["starter"].alias("starter"), F.concat(acc["marks"], x["e"]).alias("marks"), x["ccc"].alias("last"))
+        return F.when(whole.isNotNull(), taken).when(x["ccc"] == 0, next_).otherwise(mark)
+
+    return F.aggregate(points, zero, step, lambda acc: F.concat(acc["done"], acc["starter"], acc["marks"]))
+
+
+def _mapping(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decompositions, classes of marks, look-alikes)"""
     spark = df.sparkSession
     chars = pd.DataFrame(_tables()[0], columns=["c", "d"])
+    marks = pd.DataFrame([(chr(n), U.combining(chr(n))) for n in range(0x300, 0x20000) if not 0xD800 <= n <= 0xDFFF and U.combining(chr(n))], columns=["e", "class"])
     twins = pd.DataFrame([(frm, SCRIPTS[i], to) for row in LOOK_ALIKES for i, to in enumerate(row) if to for j, frm in enumerate(row) if frm and j != i], columns=["e", "main", "twin"])
     # a letter may stand twice (capitals without a partner): the first pairing holds
     twins = twins.drop_duplicates(["e", "main"])
-    return spark.createDataFrame(chars), spark.createDataFrame(twins)
+    return spark.createDataFrame(chars), spark.createDataFrame(marks, "e string, class int"), spark.createDataFrame(twins)
 
 
 def consistent_forms(texts: DataFrame) -> DataFrame:
     """text, form: for every distinct non-null ``text`` that is not its own consistent form already by its characters."""
     odd = texts.select("text").where(is_suspect(F.col("text"))).distinct()
-    chars, twins = _mapping(odd)
+    chars, marks, twins = _mapping(odd)
     # one exchange: everything below stays within the text's partition
     # (a fixed number of partitions: a few bytes of text become many rows, which their size in the exchange does not tell)
     odd = odd.repartition(shuffle_width(odd.sparkSession), "text")
@@ -129,33 +167,23 @@ def consistent_forms(texts: DataFrame) -> DataFrame:
     points = points.withColumn("main", main).join(F.broadcast(twins), ["e", "main"], "left")
     points = points.withColumn("e", F.when((F.col("script") != F.col("main")) & F.col("twin").isNotNull(), F.col("twin")).otherwise(F.col("e")))
     # combining marks after their base, by class; a base opens a new sequence
-    klass = _classes(F.col("e"))
-    points = points.withColumn("ccc", klass)
+    points = points.join(F.broadcast(marks), "e", "left").withColumn("ccc", F.coalesce("class", F.lit(0)))
     order = word.orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
     points = points.withColumn("seq", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order))
-    plain = F.when(F.col("e").rlike(r"\p{Zs}"), " ").when(F.col("e").isin(list(HYPHENS)), "-").otherwise(F.col("e"))
-    # unusual space at an end goes; inside it is a plain space
-    points = points.withColumn("e", F.when(F.col("e").isin(list(SPACES)), F.lit("")).otherwise(plain))
-    built = points.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("seq", "ccc", "pos", "sub", "e"))).alias("all"))
-    joined = F.array_join(F.transform("all", lambda x: x["e"]), "")
-    ends = F.regexp_replace(F.regexp_replace(joined, r"^([ \t\r\n]*)\x{E000}+", "$1"), r"\x{E000}+([ \t\r\n]*)$", "$1")
-    got = built.select("text", _recompose(F.translate(ends, "", " ")).alias("form"))
+    unusual = F.col("e").isin(list(SPACES))
+    plain = F.when(unusual, " ").when(F.col("e").isin(list(HYPHENS)), "-").otherwise(F.col("e"))
+    points = points.select("text", "seq", "ccc", "pos", "sub", plain.alias("e"), unusual.alias("unusual"))
+    built = points.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("seq", "ccc", "pos", "sub", "e", "unusual"))).alias("all"))
+    # unusual space at an end goes, also behind plain space there; inside it is a plain space
+    content = F.transform("all", lambda x: ~x["e"].isin(" ", "\t", "\r", "\n"))
+    built = built.withColumn("first", F.array_position(content, True) - 1).withColumn("last", F.size("all") - F.array_position(F.reverse(content), True))
+    at_end = lambda i: (i < F.col("first")) | (i > F.col("last"))
+    kept = F.filter("all", lambda x, i: ~(x["unusual"] & at_end(i)))
+    got = built.select("text", _recomposed(kept).alias("form"))
     # a text of invisible characters only has no code points left
     return odd.join(got, "text", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
 
 
-def _classes(c: Column) -> Column:
-    """Canonical combining class; the table is asked for marks only."""
-    marks = {chr(n): U.combining(chr(n)) for n in range(0x300, 0x20000) if not 0xD800 <= n <= 0xDFFF and U.combining(chr(n))}
-    by: dict[int, str] = {}
-    for m, k in marks.items():
-        by[k] = by.get(k, "") + m
-    out = F.when(~c.rlike(r"^\p{M}$"), 0)
-    for k, chars in sorted(by.items(), key=lambda x: -len(x[1])):
-        out = out.when(F.instr(F.lit(chars), c) > 0, k)
-    return out.otherwise(0)
-
-
 @lru_cache(maxsize=1)
 def _fold_table() -> dict[int, str]:
     # marks go last: a decomposition may hold some

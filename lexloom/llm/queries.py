@@ -84,7 +84,8 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged fields with the chain they went through and the text as originally written, where it can be restored."""
     records = encoded_texts(spark, sf_dir)
     bad, counts = find_damaged(records, index_texts(spark, sf_dir))
-    return repaired(records.where("text is not null").dropDuplicates(["src", "row_id"]).join(bad, ["src", "row_id"]), counts)
+    # the damaged ones first, so that only their texts are moved to be told apart
+    return repaired(records.where("text is not null").join(bad, ["src", "row_id"]).dropDuplicates(["src", "row_id"]), counts)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

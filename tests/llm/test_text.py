@@ -21,6 +21,7 @@ def test_forms(spark):
     cases = {
         "bruzoth\u0435ld": "bruzotheld", "ｐｅｅｐ－ｌｉｋｅ": "peep-like", "e\u0301a": "éa", "\u00a0x\u3000y\u2007": "x y", "a\u00adb\u200b": "ab", "\u200b": "",
         "\u0433\u044f\u043cy": "\u0433\u044f\u043c\u0443", "\u03bc\u03bfo\u03c2": "\u03bc\u03bf\u03bf\u03c2", "ﾎﾟ": "ポ", "ホ\u309a": "ポ", "a\u0307\u0323": "\u1ea1\u0307", "\u212b": "Å",
+        "\u1112\u1161\u11ab\u1100\u1173\u11af": "\ud55c\uae00", "\ue000a\u0301\ue000\u00a0b\u00a0": "\ue000\u00e1\ue000 b", "a\u0301\u0302\u0323": "\u1ea1\u0301\u0302", "\u0301a\u034fb": "\u0301ab", "x \u00a0 \u3000": "x  ",
         "plain": "plain", " tab\t\n": " tab\t\n", "": "", None: None, "naïve": "naïve", "русский": "русский", "a\u2010b\u2011c": "a-b-c", "x\u00a0 ": "x ",
     }
     assert forms(spark, list(cases)) == list(cases.values())
