@@ -78,9 +78,13 @@ def strip_tags(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
+# What is taken out of entry HTML, event handlers and links that run scripts.
+UNSAFE = r"""(?i)\s+on\w+\s*=\s*["'][^"']*["']|(src|href)\s*=\s*["']\s*javascript:[^"']*["']"""
+
+
 def sanitize(html: Column | str) -> Column:
     """Without event handlers and javascript: links."""
-    return F.regexp_replace(col(html), r"""(?i)\s+on\w+\s*=\s*["'][^"']*["']|(src|href)\s*=\s*["']\s*javascript:[^"']*["']""", "")
+    return F.regexp_replace(col(html), UNSAFE, "")
 
 
 def escape_html(c: Column | str) -> Column:
@@ -90,6 +94,20 @@ def escape_html(c: Column | str) -> Column:
     return out
 
 
+def escape_js(c: Column | str) -> Column:
+    """Text for a JavaScript string in double quotes."""
+    out = col(c)
+    for sign, coded in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(coded))
+    return out
+
+
+def enabled_filter(chosen: Column | str, known: Column | str) -> Column:
+    """What a client sends for the dictionaries chosen of those known (arrays): nothing for all, ``__none__`` for none, else their list."""
+    c, k = F.array_intersect(col(chosen), col(known)), col(known)
+    return F.when(F.size(c) == 0, "__none__").when(F.size(c) < F.size(F.array_distinct(k)), F.array_join(c, ","))
+
+
 def content_type(path: Column | str) -> Column:
     ext = F.lower(F.regexp_extract(col(path), r"\.([^./\\]+)$", 1))
     known = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])

@@ -125,6 +125,32 @@ def random_headwords(index: DataFrame, seed: int, n: int = 1) -> DataFrame:
     return index.where(is_displayable("text")).select("dict_id", "id", "text").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
 
 
+# Words a random pick falls back to.
+COMMON_WORDS = "hello world book water light house music friend garden summer winter river mountain story dream heart voice".split()
+
+
+def random_seek(index: DataFrame, seed: int, tries: int = 5) -> DataFrame:
+    """text: a displayable headword by seeking from random ids of a random dictionary, the same for the same seed.
+
+    Each try takes the first row at or after its id; if none is displayable, a common word. No table is sorted or scanned whole but for
+    the dictionaries' greatest ids.
+    """
+    from random import Random
+
+    from lexloom.functions.text import is_displayable
+
+    rnd = Random(seed)
+    spans = sorted((r["dict_id"], r["n"]) for r in index.where("dict_id is not null").groupBy("dict_id").agg(F.max("id").alias("n")).collect())
+    if spans:
+        name, most = rnd.choice(spans)
+        for _ in range(tries):
+            at = rnd.randint(1, max(most or 1, 1))
+            row = index.where((F.col("dict_id") == name) & (F.col("id") >= at)).select("id", "text", is_displayable("text").alias("ok")).orderBy("id").limit(1).collect()
+            if row and row[0]["ok"]:
+                return index.sparkSession.createDataFrame([(row[0]["text"],)], "text string")
+    return index.sparkSession.createDataFrame([(rnd.choice(COMMON_WORDS),)], "text string")
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key; Spark keeps n rows a key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

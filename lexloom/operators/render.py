@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.html import section_meta, split_styles, style_fingerprint
-from lexloom.functions.text import escape_html, sanitize
+from lexloom.functions.text import escape_html, escape_js, is_resource_key, sanitize
 
 
 def dedup_styles(sections: DataFrame) -> DataFrame:
@@ -39,9 +39,46 @@ def render_aggregate(sections: DataFrame) -> DataFrame:
     return got.select("render_id", "word", "hit_count", html.alias("html"))
 
 
+RESET = "<style>html,body{margin:0;padding:0;overflow:hidden}</style>"
+LAST_STYLE = '<link rel="stylesheet" type="text/css" href="/article-style.css">'
+#: Tells the page around a frame its height and the links clicked in it; the dictionary's id stands between the two halves.
+BRIDGE = (
+    '<script>(()=>{const id="',
+    '";const tell=m=>parent.postMessage(Object.assign({dictId:id},m),"*");const box=document.querySelector(".dict-scope");'
+    "const grown=()=>tell({height:Math.ceil(box.scrollHeight)});new ResizeObserver(grown).observe(box);addEventListener('load',grown);"
+    "addEventListener('click',e=>{const a=e.target.closest('a[href]');if(a&&/^(sound:|entry:|\\/)/.test(a.getAttribute('href')))"
+    "{e.preventDefault();tell({href:a.getAttribute('href')})}})})()</script>",
+)
+
+
+def frame_pages(sections: DataFrame) -> DataFrame:
+    """render_id, ord, frame: each section as a document of its own in the ``srcdoc`` of a sandboxed frame.
+
+    sections: render_id, ord, dict_id, body, extra_css, extra_js. In the head stand a reset, the dictionary's own styles (each once in a
+    render), its extra styles and the sheet that comes last; in the body the entry within its dictionary's scope, extra script and bridge.
+    """
+    clean = dedup_styles(sections).select("render_id", "ord", F.col("body").alias("_body"), "head")
+    s = sections.select("render_id", "ord", "dict_id", "extra_css", "extra_js").join(clean, ["render_id", "ord"])
+    id_ = escape_html(F.coalesce("dict_id", F.lit("")))
+    block = lambda tag, c: F.when(F.trim(c) != "", F.concat(F.lit(f"<{tag}>"), F.col(c), F.lit(f"</{tag}>"))).otherwise("")
+    page = F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><meta name="viewport" content="width=device-width, initial-scale=1">' + RESET), "head", block("style", "extra_css"),
+        F.lit(LAST_STYLE + '</head><body><div class="dict-scope" data-dict-id="'), id_, F.lit('"><div class="dict-body">'), F.coalesce("_body", F.lit("")), F.lit("</div></div>"),
+        block("script", "extra_js"), F.lit(BRIDGE[0]), escape_js(F.coalesce("dict_id", F.lit(""))), F.lit(BRIDGE[1] + "</body></html>"),
+    )
+    frame = F.concat(F.lit('<iframe class="dict-frame" data-dict-id="'), id_, F.lit('" srcdoc="'), escape_html(page), F.lit('" loading="lazy" sandbox="allow-scripts allow-popups allow-forms"></iframe>'))
+    return s.select("render_id", "ord", frame.alias("frame"))
+
+
+def first_audio(sections: DataFrame) -> DataFrame:
+    """render_id, audio: the first sound of a render's sections, in order."""
+    s = sections.select("render_id", "ord", section_meta("body", "dict_id")["audio"].alias("audio")).where("audio is not null")
+    return s.groupBy("render_id").agg(F.min_by("audio", "ord").alias("audio"))
+
+
 def json_payload(sections: DataFrame) -> DataFrame:
-    """render_id, payload: word, matched, hit_count and the metadata of each section, as JSON."""
-    s = sections.withColumn("meta", section_meta("body", "dict_id"))
+    """render_id, payload: word, matched, hit_count and the metadata of each section, as JSON; resource keys are no words."""
+    s = sections.where(~F.coalesce(is_resource_key("word"), F.lit(False))).withColumn("meta", section_meta("body", "dict_id"))
     one = F.struct("ord", F.struct("dict_id", "title", "meta.headword", "meta.phonetics", "meta.audio", "meta.entries", "meta.sense_count").alias("s"))
     got = s.groupBy("render_id", "word").agg(F.count(F.lit(1)).alias("hit_count"), F.sort_array(F.collect_list(F.struct("ord", F.to_json(one["s"]).alias("j")))).alias("ss"), F.min_by("matched", "ord").alias("matched"))
     body = F.concat(

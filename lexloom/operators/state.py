@@ -47,6 +47,29 @@ def catalog(files: DataFrame) -> DataFrame:
     )
 
 
+def logical_catalog(files: DataFrame, settings: DataFrame) -> DataFrame:
+    """dict_id, dict_key, name, primary_path, texts, resources, container_class, extra_css, extra_js of files(path), by their logical key.
+
+    settings: path, name, container_class, css, js of the files that have any (as configs() reads them). The name is that of the
+    settings of the first text file, else its stem.
+    """
+    kind = F.lower(F.regexp_extract("path", r"\.([^./\\]*)$", 1))
+    f = dictionary_ids(files).join(settings.select("path", F.col("name").alias("_n"), "container_class", "css", "js"), "path", "left").withColumn("_text", kind != "mdd")
+    first = F.struct(~F.col("_text"), F.col("path"))
+    stem = F.regexp_extract("path", r"([^/\\]+)\.[^./\\]*$", 1)
+    return f.groupBy("dict_id", "dict_key").agg(
+        F.min_by(F.coalesce("_n", stem), first).alias("name"), F.min(F.when(F.col("_text"), F.col("path"))).alias("primary_path"),
+        F.sum(F.col("_text").cast("int")).alias("texts"), F.sum((~F.col("_text")).cast("int")).alias("resources"),
+        F.min_by("container_class", first).alias("container_class"), F.min_by("css", first).alias("extra_css"), F.min_by("js", first).alias("extra_js"),
+    )
+
+
+def custom_parts(catalog: DataFrame, asked: DataFrame) -> DataFrame:
+    """dict_id, css, js, found of asked(dict_id): the style and script of a dictionary's settings; empty where it has none."""
+    c = catalog.select("dict_id", F.coalesce("extra_css", F.lit("")).alias("css"), F.coalesce("extra_js", F.lit("")).alias("js"), F.lit(True).alias("found"))
+    return asked.select("dict_id").distinct().join(c, "dict_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def staleness(scan: DataFrame, meta: DataFrame) -> DataFrame:
     """path, exists, up_to_date of scanned files (path, size, mtime) against index metadata (path, schema_version, size, mtime)."""
     m = meta.select("path", "schema_version", F.col("size").alias("m_size"), F.col("mtime").alias("m_mtime"), F.lit(True).alias("known"))
@@ -75,6 +98,16 @@ def favorites_delete(favorites: DataFrame, gone: DataFrame) -> DataFrame:
     return favorites.join(gone.select(trim_unicode("word").alias("word")).distinct(), "word", "left_anti")
 
 
+def favorites_clear(favorites: DataFrame) -> DataFrame:
+    return favorites.limit(0)
+
+
+def favorites_by_word(favorites: DataFrame) -> DataFrame:
+    """Favorites with their place in the order of words as people read them (case and accents last)."""
+    order = F.collate(F.col("word"), "UNICODE")
+    return top_per(favorites.withColumn("_one", F.lit(1)), ["_one"], [order, F.col("word")], 1 << 30, "place").drop("_one")
+
+
 def history(searches: DataFrame, user: str, word: str, ts: str, n: int = 20) -> DataFrame:
     """user, place, word, ts: latest searches of each user, each word once regardless of case, words of two characters or more."""
     valid = searches.where(F.char_length(trim_unicode(word)) >= 2).select(F.col(user).alias("user"), trim_unicode(word).alias("word"), F.col(ts).alias("ts"))

@@ -12,6 +12,7 @@ from lexloom.functions import html as H
 from lexloom.functions import links as L
 from lexloom.functions import normalize as N
 from lexloom.functions import text as T
+from lexloom.operators import entries as E
 from lexloom.operators import lookup as K
 from lexloom.operators import render as R
 from lexloom.operators import state as S
@@ -236,6 +237,7 @@ def suggest_else_fuzzy(spark, sf):
 
 def answer_sections(spark, sf) -> DataFrame:
     """Sections per headword: one render per matched text, in section order."""
+    # rows delivered twice are identical, hence any of them will do
     s = table(spark, sf, "aggregate_section").dropDuplicates(["section_id"])
     return s.select(F.col("matched").alias("render_id"), F.col("matched").alias("word"), "matched", F.col("section_id").alias("ord"), "dict_id", "title", "body").where("matched is not null")
 
@@ -252,6 +254,39 @@ def query_json(spark, sf):
     return R.json_payload(answer_sections(spark, sf)).select("word", "matched", "hit_count", "payload")
 
 
+def entry_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """One body of every index row that has any: the first section's."""
+    s = table(spark, sf, "aggregate_section").where("body is not null and index_id is not null")
+    return s.groupBy("dict_id", F.col("index_id").alias("id")).agg(F.min_by("body", "section_id").alias("body"))
+
+
+def titled_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    titles = table(spark, sf, "dict_header").select("dict_id", "title")
+    return catalog_order(spark, sf).join(titles, "dict_id")
+
+
+def entry_query(spark, sf):
+    return E.entry_query(words(spark, sf), index(spark, sf), entry_bodies(spark, sf)).select("word", "dict_id", "matched", "hops", "id", "status", F.octet_length("body").alias("bytes"))
+
+
+def first_query(spark, sf):
+    got = E.first_query(words(spark, sf), index(spark, sf), entry_bodies(spark, sf), catalog_order(spark, sf))
+    return got.select("word", "dict_id", "matched", "hops", "id", "status", F.octet_length("body").alias("bytes"))
+
+
+def query_aggregate(spark, sf):
+    return E.aggregate_query(words(spark, sf), index(spark, sf), entry_bodies(spark, sf), titled_catalog(spark, sf))
+
+
+def frame_pages(spark, sf):
+    s = table(spark, sf, "aggregate_section").dropDuplicates(["section_id"]).where("matched is not null")
+    return R.frame_pages(s.select(F.col("matched").alias("render_id"), F.col("section_id").alias("ord"), "dict_id", "body", "extra_css", "extra_js"))
+
+
+def first_audio(spark, sf):
+    return R.first_audio(answer_sections(spark, sf))
+
+
 def hit_counts(spark, sf):
     return answer_sections(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("hit_count"), F.countDistinct("dict_id").alias("dictionaries"))
 
@@ -338,7 +373,7 @@ QUERIES = [
     normalize_headwords, fold_diacritics, lookup_keys, word_predicates, lemma_candidates, query_candidates, strip_tags, sanitize, escape_html, percent_encode,
     link_target, link_classify, resource_paths, rewrite_html, scope_css, section_meta, lookup_exact, lookup_nocase, lookup_normalized, lookup_cascade,
     entry_lookup, cross_dict_first_hit, filtered_lookup, resource_lookup, redirect_chase, redirect_trace, random_headword, suggest_prefix, suggest_merged,
-    fts_postings, fts_bm25, fts_match, suggest_fts, fts_trigram_match, fts_trigrams, fuzzy_suggest, fuzzy_cross_dict, suggest_else_fuzzy, dedup_styles, render_aggregate, query_json, hit_counts,
+    fts_postings, fts_bm25, fts_match, suggest_fts, fts_trigram_match, fts_trigrams, fuzzy_suggest, fuzzy_cross_dict, suggest_else_fuzzy, dedup_styles, render_aggregate, query_json, hit_counts, entry_query, first_query, query_aggregate, frame_pages, first_audio,
     dict_list, dict_ids, index_stats, index_status, change_set, favorites_upsert, favorites_list, history_top20, debounce_sessions, cache_keys,
     cache_admission, block_prefix_sum, record_locations, inflected_matches,
 ]
@@ -346,16 +381,12 @@ QUERIES = [
 
 def container_scan(spark, sf):
     """The canonical headwords written to container files of both versions, and read back with their bodies."""
-    import os
-    import tempfile
+    from uuid import uuid4
 
     from lexloom.session import ensure_checkpoint_dir
     from lexloom.sources.container import ContainerSource, index_rows, read_records, write_container
 
-    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
-    os.makedirs(shared, exist_ok=True)
-    folder = tempfile.mkdtemp(prefix="containers-", dir=shared)
-    os.chmod(folder, 0o755)
+    folder = f"{ensure_checkpoint_dir(spark)}/containers-{uuid4().hex}"
     rows = table(spark, sf, "ref_headword").orderBy("ref_id").select("canonical").toPandas()["canonical"].tolist()
     for version, encrypted, encoding in ((1, 0, "UTF-8"), (2, 2, "UTF-16")):
         write_container(f"{folder}/v{version}.mdx", [(w, f"<b>{w}</b>".encode()) for w in rows], version, encoding, encrypted, block=1000)

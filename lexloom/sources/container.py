@@ -1,14 +1,15 @@
 """Dictionary container files (.mdx text, .mdd resources) as a Spark data source, and a writer for small ones.
 
     spark.dataSource.register(ContainerSource)
-    spark.read.format("lexicon_container").load("/folder")        # index rows, one input partition per file
+    spark.read.format("lexicon_container").load("/folder")        # index rows, as many input partitions as key blocks need
 
-A file that cannot be read is one row with ``error`` set; it never fails the job. Record bodies are read per block with
+Paths are local, or of any file system with a scheme that the Arrow library knows (hdfs://, s3://). A file that cannot be read is one row with ``error`` set; it never fails the job. Record bodies are read per block with
 ``read_records``: every block is fetched and decompressed once, whatever the number of records asked of it.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -99,20 +101,66 @@ def headword(raw: bytes, encoding: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path in it: local ones, and every other that has a scheme."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path, re.I) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def open_file(path: str):
+    system, inner = _at(path)
+    return system.open_input_file(inner)
+
+
+def exists(path: str) -> bool:
+    system, inner = _at(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
+def read_text(path: str) -> str:
+    with open_file(path) as f:
+        return f.read().decode()
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """A file with its folders, complete under its name or not there."""
+    system, inner = _at(path)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner + ".part") as f:
+        f.write(data)
+    system.move(inner + ".part", inner)
+
+
+def write_text(path: str, text: str) -> None:
+    write_bytes(path, text.encode())
+
+
 class Container:
-    """Index of one file: key entries and record blocks, with nothing of the records read."""
+    """Index of one file: key entries and record blocks, with nothing of the records read.
+
+    ``first`` and ``after`` choose some of the key blocks; the entry that follows them is read too, as it ends the last of theirs.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, first: int = 0, after: int | None = None) -> None:
         self.path = path
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             head = f.read(4)
             (n,) = struct.unpack(">I", head.ljust(4, b"\0"))
             self.header = parse_header(head + f.read(n + 4))
             self.wide = self.header.version == 2
             self.encoding = self.header.encoding or "utf-16"
             self.width = 2 if self.encoding.lower() in ("utf-16", "utf16", "utf-16le") else 1
-            blocks = self._key_blocks(f)
-            self.entries = [e for csize, dsize in blocks for e in self._items(decode_block(f.read(csize), dsize))]
+            self.key_blocks = self._key_blocks(f)
+            after = len(self.key_blocks) if after is None else min(after, len(self.key_blocks))
+            at = f.tell()
+            self.entries = []
+            self.before = sum(n for _, _, n in self.key_blocks[:first])
+            self.own = sum(n for _, _, n in self.key_blocks[first:after])
+            for k, (csize, dsize, _) in enumerate(self.key_blocks):
+                if first <= k < after or (k == after and after > first):
+                    f.seek(at)
+                    self.entries += self._items(decode_block(f.read(csize), dsize))
+                at += csize
+            f.seek(at)
             self._record_blocks(f)
 
     def _numbers(self, f, n: int) -> tuple[int, ...]:
@@ -121,7 +169,8 @@ class Container:
             raise Corrupt("numbers: out of bounds")
         return struct.unpack(f">{n}{'Q' if self.wide else 'I'}", raw)
 
-    def _key_blocks(self, f) -> list[tuple[int, int]]:
+    def _key_blocks(self, f) -> list[tuple[int, int, int]]:
+        """(stored size, size, entries) of every key block."""
         if self.wide:
             raw = f.read(44)
             if len(raw) != 44 or zlib.adler32(raw[:40]) != struct.unpack(">I", raw[40:])[0]:
@@ -141,11 +190,12 @@ class Container:
         out, i = [], 0
         num, size = ("Q", 8) if self.wide else ("I", 4)
         for _ in range(count):
+            (entries,) = struct.unpack_from(f">{num}", info, i)
             i += size
             for _ in (0, 1):  # first and last headword of the block
                 (n,) = struct.unpack_from(">H" if self.wide else ">B", info, i)
                 i += (2 if self.wide else 1) + (n + 1 if self.wide else n) * self.width
-            out.append(struct.unpack_from(f">2{num}", info, i))
+            out.append((*struct.unpack_from(f">2{num}", info, i), entries))
             i += 2 * size
         if i != len(info):
             raise Corrupt("key info: trailing bytes")
@@ -179,7 +229,8 @@ class Container:
         """Index rows: a merge of entries and blocks, both in order; a record ends where the next begins, or with its block."""
         kind = "mdd" if self.path.lower().endswith(".mdd") else "mdx"
         starts = [b[0] for b in self.blocks]
-        for k, (off, text) in enumerate(self.entries):
+        whole = self.before == 0 and self.own >= len(self.entries)  # what the info says is not trusted where it does not matter
+        for k, (off, text) in enumerate(self.entries if whole else self.entries[: self.own]):
             b = bisect_right(starts, off) - 1
             if b < 0 or off >= self.blocks[b][0] + self.blocks[b][3]:
                 continue  # beyond the last block
@@ -188,41 +239,88 @@ class Container:
             length = min(end, start + dsize) - off
             if length < 0:
                 raise Corrupt("entries: out of order")
-            yield (self.path, kind, k + 1, text, off - start, length, where, csize, dsize, None)
+            yield (self.path, kind, self.before + k + 1, text, off - start, length, where, csize, dsize, None)
+
+
+def sizes(folder: str) -> list[tuple[str, int, int]]:
+    """(path, size, time in seconds) of the container files of a folder, not of its folders: texts before resources, by path.
+
+    macOS companions are left out; a path of a file is that file.
+    """
+    system, inner = _at(folder)
+    scheme = folder.split(":", 1)[0] + "://" if system.type_name not in ("local", "file") else ""
+    info = system.get_file_info(inner)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    keep = [i for i in found if i.type == fs.FileType.File and (i is info or (i.base_name.lower().endswith((".mdx", ".mdd")) and not i.base_name.startswith("._")))]
+    real = lambda p: os.path.realpath(p) if not scheme else scheme + p
+    rows = [(real(i.path), i.size, int(i.mtime.timestamp()) if i.mtime else 0) for i in keep]
+    return sorted(rows, key=lambda r: (r[0].lower().endswith(".mdd"), r[0]))
 
 
 def scan_folder(folder: str) -> list[str]:
-    """Container files of a folder, not of its folders: texts before resources, by path; macOS companions are left out."""
-    if os.path.isfile(folder):
-        return [folder]
-    names = [n for n in os.listdir(folder) if n.lower().endswith((".mdx", ".mdd")) and not n.startswith("._")]
-    return sorted((os.path.realpath(os.path.join(folder, n)) for n in names), key=lambda p: (p.lower().endswith(".mdd"), p))
+    return [p for p, _, _ in sizes(folder)]
+
+
+#: Stored bytes of key blocks a task reads.
+TASK_BYTES = 32 << 20
 
 
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, first: int = 0, after: int | None = None) -> None:
+        self.path, self.first, self.after = path, first, after
+
+
+FAILURES = (Corrupt, struct.error, OSError, IndexError)
+
+
+def kind_of(e: Exception) -> str:
+    """The kind of a failure, as data: checksum, version, encryption, size, decompression, bounds, input."""
+    text = str(e).lower()
+    if isinstance(e, OSError):
+        return "io"
+    if isinstance(e, (struct.error, IndexError)):
+        return "out_of_bounds"
+    for sign, kind in (("checksum", "checksum"), ("version", "version"), ("encrypt", "encryption"), ("bounds", "out_of_bounds"), ("large", "too_large"), ("size", "too_large"), ("compress", "decompress")):
+        if sign in text:
+            return kind
+    return "corrupt"
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    """A file is read by as many tasks as its key blocks need; a file that cannot be read is one row with its error."""
+
+    def __init__(self, folder: str, task_bytes: int) -> None:
+        self.folder, self.task_bytes = folder, task_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in scan_folder(self.folder)] or [_File("")]
+        out: list[InputPartition] = []
+        for path in scan_folder(self.folder):
+            try:
+                blocks = Container(path, 0, 0).key_blocks
+            except FAILURES:
+                out.append(_File(path))
+                continue
+            first = size = 0
+            for k, (csize, _, _) in enumerate(blocks):
+                if k > first and size + csize > self.task_bytes:
+                    out.append(_File(path, first, k))
+                    first, size = k, 0
+                size += csize
+            out.append(_File(path, first, len(blocks)))
+        return out or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         rows: list[tuple] = []
         try:
-            for r in Container(partition.path).rows():
+            for r in Container(partition.path, partition.first, partition.after).rows():
                 rows.append(r)
                 if len(rows) == 10_000:
                     yield _batch(rows)
                     rows = []
-        except (Corrupt, struct.error, OSError, IndexError) as e:
-            rows.append((partition.path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        except FAILURES as e:
+            rows.append((partition.path, None, None, None, None, None, None, None, None, f"{kind_of(e)}: {type(e).__name__}: {e}"))
         if rows:
             yield _batch(rows)
 
@@ -242,7 +340,7 @@ class ContainerSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("task_bytes", TASK_BYTES)))
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -256,7 +354,7 @@ def read_records(index: DataFrame) -> DataFrame:
             for path, _id, where, csize, dsize, off, n in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if (path, where) != held:
                     try:
-                        with open(path, "rb") as f:
+                        with open_file(path) as f:
                             f.seek(where)
                             data = decode_block(f.read(csize), dsize)
                     except (Corrupt, OSError):
@@ -275,43 +373,48 @@ def _pack(data: bytes, kind: int = 2) -> bytes:
     return struct.pack("<I", kind) + struct.pack(">I", zlib.adler32(data)) + body
 
 
-def write_container(path: str, entries: list[tuple[str, bytes]], version: int = 2, encoding: str = "UTF-8", encrypted: int = 0, block: int = 4096, kind: int = 2) -> None:
-    """A small container of (headword, body) in order; ``kind`` 0 raw or 2 zlib, ``encrypted`` 0 or 2."""
+def write_container(path: str, entries: list[tuple[str, bytes]], version: int = 2, encoding: str = "UTF-8", encrypted: int = 0, block: int = 4096, kind: int = 2, key_entries: int = 0) -> None:
+    """A small container of (headword, body) in order; ``kind`` 0 raw or 2 zlib, ``encrypted`` 0 or 2, ``key_entries`` a key block (0: all in one)."""
     attributes = f'<Dictionary GeneratedByEngineVersion="{version}.0" Encrypted="{encrypted or "No"}" Encoding="{encoding}" />\r\n\0'.encode("utf-16-le")
     wide = version >= 2
     n, size = (">Q", 8) if wide else (">I", 4)
     enc = "utf-16-le" if encoding.lower().startswith("utf-16") else encoding
     end = b"\0\0" if enc == "utf-16-le" else b"\0"
-    keys, off = b"", 0
-    for word, body in entries:
-        keys += struct.pack(n, off) + word.encode(enc) + end
-        off += len(body)
-    key_block = _pack(keys, kind)
+    groups = [entries[i : i + key_entries] for i in range(0, len(entries), key_entries)] or [[]] if key_entries else [entries]
+    key_blocks, info, off = [], b"", 0
     width = len(end)
-    info = struct.pack(n, len(entries))
-    for word in (entries[0][0], entries[-1][0]) if entries else ("", ""):
-        raw = word.encode(enc)
-        info += struct.pack(">H" if wide else ">B", len(raw) // width) + raw + (end if wide else b"")
-    info += struct.pack(n, len(key_block)) + struct.pack(n, len(keys))
+    for group in groups:
+        keys = b""
+        for word, body in group:
+            keys += struct.pack(n, off) + word.encode(enc) + end
+            off += len(body)
+        key_blocks.append(_pack(keys, kind))
+        info += struct.pack(n, len(group))
+        for word in (group[0][0], group[-1][0]) if group else ("", ""):
+            raw = word.encode(enc)
+            info += struct.pack(">H" if wide else ">B", len(raw) // width) + raw + (end if wide else b"")
+        info += struct.pack(n, len(key_blocks[-1])) + struct.pack(n, len(keys))
+    key_block = b"".join(key_blocks)
     text = b"".join(b for _, b in entries)
     blocks = [text[i : i + block] for i in range(0, len(text), block)] or [b""]
     packed = [_pack(b, kind) for b in blocks]
-    with open(path, "wb") as f:
-        f.write(struct.pack(">I", len(attributes)) + attributes + struct.pack("<I", zlib.adler32(attributes)))
-        if wide:
-            stored = _pack(info)
-            if encrypted == 2:
-                stored = stored[:8] + encrypt(stored[8:], ripemd128(stored[4:8] + struct.pack("<I", 0x3695)))
-            head = struct.pack(">5Q", 1, len(entries), len(info), len(stored), len(key_block))
-            f.write(head + struct.pack(">I", zlib.adler32(head)) + stored)
-        else:
-            f.write(struct.pack(">4I", 1, len(entries), len(info), len(key_block)) + info)
-        f.write(key_block)
-        fmt = ">4Q" if wide else ">4I"
-        f.write(struct.pack(fmt, len(packed), len(entries), len(packed) * 2 * size, sum(map(len, packed))))
-        for raw, full in zip(packed, blocks):
-            f.write(struct.pack(n, len(raw)) + struct.pack(n, len(full)))
-        f.write(b"".join(packed))
+    f = io.BytesIO()
+    f.write(struct.pack(">I", len(attributes)) + attributes + struct.pack("<I", zlib.adler32(attributes)))
+    if wide:
+        stored = _pack(info)
+        if encrypted == 2:
+            stored = stored[:8] + encrypt(stored[8:], ripemd128(stored[4:8] + struct.pack("<I", 0x3695)))
+        head = struct.pack(">5Q", len(groups), len(entries), len(info), len(stored), len(key_block))
+        f.write(head + struct.pack(">I", zlib.adler32(head)) + stored)
+    else:
+        f.write(struct.pack(">4I", len(groups), len(entries), len(info), len(key_block)) + info)
+    f.write(key_block)
+    fmt = ">4Q" if wide else ">4I"
+    f.write(struct.pack(fmt, len(packed), len(entries), len(packed) * 2 * size, sum(map(len, packed))))
+    for raw, full in zip(packed, blocks):
+        f.write(struct.pack(n, len(raw)) + struct.pack(n, len(full)))
+    f.write(b"".join(packed))
+    write_bytes(path, f.getvalue())
 
 
 def index_rows(containers: DataFrame) -> DataFrame:
