@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -101,19 +100,34 @@ def headword(raw: bytes, encoding: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path in it: local ones, and every other that has a scheme."""
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path, re.I) else (fs.LocalFileSystem(), os.path.abspath(path))
+def _local(path: str) -> str | None:
+    """A path of this machine's file system (or one mounted in it); None for one of another file system."""
+    if path.startswith("file:"):
+        return re.sub("^file:(?://)?", "", path)
+    return None if re.match(r"[a-z][a-z0-9+.-]*://", path, re.I) else os.path.abspath(path)
+
+
+def _remote(path: str):
+    """File system and path in it; its library is only loaded where it is needed, as it starts threads."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
 
 
 def open_file(path: str):
-    system, inner = _at(path)
+    here = _local(path)
+    if here is not None:
+        return open(here, "rb")
+    system, inner = _remote(path)
     return system.open_input_file(inner)
 
 
 def exists(path: str) -> bool:
-    system, inner = _at(path)
-    return system.get_file_info(inner).type != fs.FileType.NotFound
+    here = _local(path)
+    if here is not None:
+        return os.path.exists(here)
+    system, inner = _remote(path)
+    return system.get_file_info(inner).type.name != "NotFound"
 
 
 def read_text(path: str) -> str:
@@ -123,7 +137,14 @@ def read_text(path: str) -> str:
 
 def write_bytes(path: str, data: bytes) -> None:
     """A file with its folders, complete under its name or not there."""
-    system, inner = _at(path)
+    here = _local(path)
+    if here is not None:
+        os.makedirs(os.path.dirname(here), exist_ok=True)
+        with open(here + ".part", "wb") as f:
+            f.write(data)
+        os.replace(here + ".part", here)
+        return
+    system, inner = _remote(path)
     system.create_dir(os.path.dirname(inner), recursive=True)
     with system.open_output_stream(inner + ".part") as f:
         f.write(data)
@@ -247,13 +268,20 @@ def sizes(folder: str) -> list[tuple[str, int, int]]:
 
     macOS companions are left out; a path of a file is that file.
     """
-    system, inner = _at(folder)
-    scheme = folder.split(":", 1)[0] + "://" if system.type_name not in ("local", "file") else ""
-    info = system.get_file_info(inner)
-    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-    keep = [i for i in found if i.type == fs.FileType.File and (i is info or (i.base_name.lower().endswith((".mdx", ".mdd")) and not i.base_name.startswith("._")))]
-    real = lambda p: os.path.realpath(p) if not scheme else scheme + p
-    rows = [(real(i.path), i.size, int(i.mtime.timestamp()) if i.mtime else 0) for i in keep]
+    here = _local(folder)
+    if here is not None:
+        names = [here] if os.path.isfile(here) else [os.path.join(here, n) for n in os.listdir(here)]
+        found = [(os.path.realpath(p), st.st_size, int(st.st_mtime), p == here) for p in names if os.path.isfile(p) for st in [os.stat(p)]]
+    else:
+        from pyarrow import fs
+
+        system, inner = _remote(folder)
+        info = system.get_file_info(inner)
+        scheme = folder.split(":", 1)[0] + "://"
+        infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        found = [(scheme + i.path, i.size, int(i.mtime.timestamp()) if i.mtime else 0, i is info) for i in infos if i.type == fs.FileType.File]
+    base = lambda p: p.rsplit("/", 1)[-1]
+    rows = [(p, size, at) for p, size, at, named in found if named or (p.lower().endswith((".mdx", ".mdd")) and not base(p).startswith("._"))]
     return sorted(rows, key=lambda r: (r[0].lower().endswith(".mdd"), r[0]))
 
 
