@@ -9,9 +9,11 @@ from lexloom.functions.html import section_meta, split_styles, style_fingerprint
 from lexloom.functions.text import escape_html, escape_js, is_resource_key, sanitize
 
 
-def dedup_styles(sections: DataFrame) -> DataFrame:
+def dedup_styles(sections: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """sections(render_id, ord, dict_id, body) with ``body`` freed of style tags and ``head``: tags not seen earlier in the render.
 
+    Other columns are kept on request, so that bodies need not be moved again to meet them.
+
     First wins per (render, dictionary, tag): a window over the exploded tags, keyed by their fingerprint, hence spread out.
     """
     s = sections.withColumn("_s", split_styles(sanitize("body")))
@@ -20,13 +22,12 @@ def dedup_styles(sections: DataFrame) -> DataFrame:
     kept = tags.withColumn("_r", F.row_number().over(first)).where("_r = 1")
     head = kept.groupBy("render_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t"))
     head = head.select("render_id", "ord", F.array_join(F.transform("t", lambda x: x["tag"]), "").alias("head"))
-    return s.join(head, ["render_id", "ord"], "left").select("render_id", "ord", "dict_id", F.col("_s.body").alias("body"), F.coalesce("head", F.lit("")).alias("head"))
+    return s.join(head, ["render_id", "ord"], "left").select("render_id", "ord", "dict_id", *keep, F.col("_s.body").alias("body"), F.coalesce("head", F.lit("")).alias("head"))
 
 
 def render_aggregate(sections: DataFrame) -> DataFrame:
     """render_id, hit_count, html of sections(render_id, word, ord, dict_id, title, body), numbered in order."""
-    clean = dedup_styles(sections).select("render_id", "ord", F.col("body").alias("_body"), "head")
-    s = sections.select("render_id", "word", "ord", "dict_id", "title").join(clean, ["render_id", "ord"])
+    s = dedup_styles(sections, ("word", "title")).withColumnRenamed("body", "_body")
     piece = F.concat(
         F.lit('<section class="dict-section" data-dict-id="'), escape_html("dict_id"), F.lit('"><h2>'), escape_html(F.coalesce("title", F.lit(""))),
         F.lit("</h2>"), F.coalesce("head", F.lit("")), F.lit('<div class="dict-body">'), F.coalesce("_body", F.lit("")), F.lit("</div></section>"),
@@ -57,8 +58,7 @@ def frame_pages(sections: DataFrame) -> DataFrame:
     sections: render_id, ord, dict_id, body, extra_css, extra_js. In the head stand a reset, the dictionary's own styles (each once in a
     render), its extra styles and the sheet that comes last; in the body the entry within its dictionary's scope, extra script and bridge.
     """
-    clean = dedup_styles(sections).select("render_id", "ord", F.col("body").alias("_body"), "head")
-    s = sections.select("render_id", "ord", "dict_id", "extra_css", "extra_js").join(clean, ["render_id", "ord"])
+    s = dedup_styles(sections, ("extra_css", "extra_js")).withColumnRenamed("body", "_body")
     id_ = escape_html(F.coalesce("dict_id", F.lit("")))
     block = lambda tag, c: F.when(F.trim(c) != "", F.concat(F.lit(f"<{tag}>"), F.col(c), F.lit(f"</{tag}>"))).otherwise("")
     page = F.concat(
