@@ -43,6 +43,18 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every text: number of pieces, most tokens of one, most characters shared by two, and whether the pieces without what they share are the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    pieces = split_column(docs, "doc_id", "text")
+    own = F.substring(F.col("text"), (F.col("shared") + 1).cast("int"), F.length("text"))
+    per = pieces.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.max("n_tokens").alias("most_tokens"), F.max("shared").alias("most_shared"), F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("all")
+    )
+    per = per.withColumn("joined", F.md5(F.array_join(F.transform("all", lambda x: x["own"]), ""))).drop("all")
+    return docs.select("doc_id", F.md5("text").alias("_m")).join(per, "doc_id").select("doc_id", "n_pieces", "most_tokens", "most_shared", (F.col("joined") == F.col("_m")).alias("whole"))
+
+
 def leaked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
 

@@ -103,3 +103,22 @@ def test_split_column(spark):
     assert [r["n_pieces"] for r in got if r["doc_id"] == 1] == [1]
     joined = "".join(r["text"][r["shared"] :] for r in sorted((r for r in got if r["doc_id"] == 4), key=lambda r: r["piece_no"]))
     assert joined == "word " * 3000
+
+
+def test_words_are_packed_and_code_stays():
+    text = "lorem ipsum dolor " * 4000
+    sizes = [n for _, _, n, _ in check(text)]
+    assert min(sizes[:-1]) > 0.9 * 1024
+    code = "```\n" + "x = 1\n\n" * 40 + "```"
+    text = "\n\n".join(["Some words here, and more of them. " * 12] * 6 + [code] + ["The end comes late. " * 20] * 6)
+    at = text.index("```"), text.rindex("```") + 3
+    assert all(not at[0] < e < at[1] for _, e, _, _ in check(text, 300, 20))
+    assert not [m for m in S.SENTENCE.finditer("see e.g. this and J. Doe")] and len(S.SENTENCE.findall("One. Two! Three.\nFour")) == 3
+
+
+def test_checked(spark, tmp_path):
+    from lexloom.llm import queries
+
+    spark.createDataFrame([(1, "short"), (2, "word. " * 3000), (3, None), (4, ""), (2, "word. " * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.p9_checked(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2} and all(r["whole"] and r["most_tokens"] <= 1024 for r in got.values()) and got[2]["n_pieces"] > 2
