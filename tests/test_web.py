@@ -43,3 +43,20 @@ def test_registered_names(spark):
     register(spark)
     r = spark.sql("select lex_normalize('Café—menu it''s'), lex_nocase('ÀB'), lex_strip_tags('<b>a</b>  b'), lex_redirect('@@@LINK=go\\r\\n'), lex_redirect('x'), lex_rewrite_html('<a href=\"entry://x\">', 'd')").first()
     assert list(r) == ["cafe menu it's", "Àb", "a b", "go", None, '<a href="/dict/d/entry/x">']
+
+
+def test_sql_functions_equal_their_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.functions.register import NATIVE
+
+    register(spark)
+    rows = [("It's Café—menu", "b", 2.5), ("@@@LINK=go\n", "@@@", 1.0), ("/a\\b.png?x", "/a", -3.0), ("stopp", "stop", 0.0), ('%C3%A9"<x>', "é", 1.0), ("bytes=1-5", None, 1.0), (None, "x", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    df.createOrReplaceTempView("sql_cases")
+    for name, (_, make) in NATIVE.items():
+        parameters = [p.split() for p in name[name.index("(") + 1 : -1].split(", ")]
+        given = {"STRING": ["x", "y"], "DOUBLE": ["z", "z"], "BIGINT": ["cast(abs(z) * 10 as bigint)"] * 2, "INT": ["cast(abs(z) * 10 as int)"] * 3}
+        source = [given[kind][min(i, 1)] for i, (_, kind) in enumerate(parameters)]
+        want = df.select(*[F.expr(e).alias(p) for e, (p, _) in zip(source, parameters)]).select(make().alias("r")).collect()
+        assert spark.sql(f"select {name.split('(')[0]}({', '.join(source)}) as r from sql_cases").collect() == want, name
