@@ -79,7 +79,9 @@ class Cutter:
         return len(encoder(self.path).encode_ordinary(self.text[s:e]))
 
     def units(self, s: int, e: int, level: int, most: int) -> Iterator[tuple[int, int]]:
-        if self.size(s, e) <= most - 4 and self.count(s, e) <= most:
+        size = self.size(s, e)
+        # a small part is far from the limit, however its ends are tokenized; pieces are counted again when they are packed
+        if size <= most - 4 and (4 * size <= most or self.count(s, e) <= most):
             yield s, e
         elif level < len(LEVELS):
             at = self.cuts[level]
