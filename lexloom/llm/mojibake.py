@@ -8,8 +8,8 @@ twice), plus ``lossy`` for records with replacement characters that no chain bri
   record may be damaged as a whole or in one place: each word is a half-half mixture of damaged and intact.
 * Prior: the share of each chain per (source, field), estimated by expectation-maximization over all records of it, so that many
   words that are odd only slightly (an ``ê`` for an ``ę``) decide together.
-* The language models are estimated from words in the script of their language, every source weighing the same; with ``refine``
-  once more, without the records whose posterior says damaged.
+* The language models are estimated from words in the script of their language, every source and field weighing the same; with
+  ``refine`` once more, without the records whose posterior says damaged.
 
 Counts cover all records. What goes to the driver is bounded by alphabets, sources and chains: bigram counts of letters (all Han
 characters are one symbol) per language, and one row of chain shares per source and field.
@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.session import cut
@@ -222,30 +223,40 @@ def evidence(text: str, lm: Language) -> list[float] | None:
 
 
 def repair(text: str, z: int, lm: Language) -> str:
-    """The text with every word put right that the chain explains better."""
+    """The text with every word put right that the chain explains better; if it is none, the one that comes nearest, as one is damaged."""
     if z >= len(CHAINS):
         return text
-    for w in sorted(set(words_of(text)), key=len, reverse=True):
-        got = dict(candidates(w)).get(z)
-        if got is not None and lm(got) > lm(w):
-            text = text.replace(w, got)
+    words = [(lm(got) - lm(w), w, got) for w in sorted(set(words_of(text)), key=lambda w: (-len(w), w)) if (got := dict(candidates(w)).get(z)) is not None]
+    for _, w, got in [x for x in words if x[0] > 0] or sorted(words)[-1:]:
+        text = text.replace(w, got)
     return text
 
 
 # ---------------------------------------------------------------- language models
 
-_SCRIPT = {"ru": r"\p{IsCyrillic}", "el": r"\p{IsGreek}", "zh": r"\p{IsHan}", "ja": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"}
-
-
-def _first_weight(text: Column, lang: Column) -> Column:
-    """No trust, at first, in words out of the script of their language or with signs inside."""
-    plain = r"\p{M}\p{N}\p{Zs}\p{Cf}\x20-\x40"
-    ok = F.lit(False)
-    latin = ~lang.isin(list(_SCRIPT))
-    for code, script in _SCRIPT.items():
-        ok = ok | ((lang == code) & text.rlike(rf"^[{script}{plain}]*$"))
-    ok = ok | (latin & text.rlike(rf"^[\p{{IsLatin}}{plain}&&[^²³¹¼½¾]]*$") & ~text.rlike(r"[a-zß-ÿ][À-Þ]"))
-    return F.when(ok, 1.0).otherwise(0.0)
+_PLAIN = r"\p{M}\p{N}\p{Zs}\p{Cf}\x20-\x40"
+_SCRIPT = {
+    code: regex.compile(rf"[{script}{_PLAIN}]*")
+    for code, script in (("ru", r"\p{Cyrillic}"), ("el", r"\p{Greek}"), ("zh", r"\p{Han}"), ("ja", r"\p{Han}\p{Hiragana}\p{Katakana}ー"))
+}
+_LATIN = regex.compile(rf"(?V1)[[\p{{Latin}}{_PLAIN}]--[²³¹¼½¾]]*")
+_inner_capital = re.compile(r"[a-zß-ÿ][À-Þ]")
+#: Phonetic script, whatever the language.
+_SPOKEN = regex.compile(rf"[/\[][\p{{Latin}}\p{{Lm}}θβχ{_PLAIN}]*[/\]]")
+
+
+def trusted(word: str, lang: str) -> bool:
+    """No trust, at first, in words out of the script of their language, with signs inside, or like misread UTF-8."""
+    if word.isascii():
+        return lang not in _SCRIPT or not _ascii_letter.search(word)
+    if SIGNS["cp1252"].search(word) or SIGNS["mac_roman"].search(word):
+        return False
+    if _SPOKEN.fullmatch(word):
+        return True
+    script = _SCRIPT.get(lang)
+    if script is not None:
+        return script.fullmatch(word) is not None
+    return _LATIN.fullmatch(word) is not None and not _inner_capital.search(word)
 
 
 def _groups(a: pa.Array, b: pa.Array) -> tuple[list[tuple[str, str]], np.ndarray]:
@@ -257,16 +268,26 @@ def _groups(a: pa.Array, b: pa.Array) -> tuple[list[tuple[str, str]], np.ndarray
     return [(x.dictionary[k // n].as_py(), y.dictionary[k % n].as_py()) for k in found.tolist()], at
 
 
-def bigram_counts(texts: DataFrame, weight: Column) -> list:
-    """(lang, a, b, share) of texts(source, lang, text): every source weighs the same within its language."""
-    t = texts.select("source", F.coalesce("lang", F.lit("")).alias("lang"), F.lower("text").alias("t"), weight.alias("w"))
+def bigram_counts(texts: DataFrame, trust: bool = False) -> list:
+    """(lang, a, b, share) of all words of texts(src, source, lang, text): every source and field weighs the same within its language.
+
+    Words count by their first trust, or all of them with ``trust``.
+    """
+    t = texts.select(F.concat_ws("\n", "src", "source").alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, group = _groups(b.column(0), b.column(1))
-            lines = b.column(2).to_pylist()
+            keys, place = _groups(b.column(0), b.column(1))
+            per = [Counter() for _ in keys]
+            for g, text in zip(place.tolist(), b.column(2).to_pylist()):
+                per[g].update(_split.split(text))
+            group = np.repeat(np.arange(len(keys)), [len(c) for c in per])
+            words = [w for c in per for w in c]
+            many = np.fromiter((n for c in per for n in c.values()), np.float64, len(words))
+            sure = many if trust else many * np.fromiter((trusted(w, keys[g][1]) for w, g in zip(words, group.tolist())), bool, len(words))
+            lines = [w.lower() for w in words]
             code = np.frombuffer("".join(["^" + x for x in lines]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
             code[((code >= 0x3400) & (code <= 0x9FFF)) | ((code >= 0xF900) & (code <= 0xFAFF))] = ord("漢")
             size = np.fromiter((len(x) for x in lines), np.int64, len(lines))
@@ -274,12 +295,12 @@ def bigram_counts(texts: DataFrame, weight: Column) -> list:
             inside = np.flatnonzero(row[1:] == row[:-1])
             pair = (group[row[inside]].astype(np.int64) << 42) | (code[inside] << 21) | code[inside + 1]
             found, at = np.unique(pair, return_inverse=True)
-            n = np.bincount(at, b.column(3).to_numpy()[row[inside]], len(found))
+            n = np.bincount(at, sure[row[inside]], len(found))
             names = [keys[g] for g in (found >> 42).tolist()]
             cols = [
                 pa.array([x for x, _ in names]), pa.array([y for _, y in names]),
                 pa.array([chr(c) for c in ((found >> 21) & 0x1FFFFF).tolist()]), pa.array([chr(c) for c in (found & 0x1FFFFF).tolist()]),
-                pa.array(n), pa.array(np.bincount(at, minlength=len(found)).astype(np.int64)),
+                pa.array(n), pa.array(np.bincount(at, many[row[inside]], len(found)).astype(np.int64)),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["source", "lang", "a", "b", "n", "all"])
 
@@ -397,11 +418,11 @@ def find_damaged(records: DataFrame, train: DataFrame | None = None, refine: boo
     """
     train = records if train is None else train
     t = train.select("src", "row_id", "source", "lang", "text").where("text is not null")
-    counts = models(bigram_counts(t, _first_weight(F.col("text"), F.coalesce("lang", F.lit("")))))
+    counts = models(bigram_counts(t))
     if refine:
         first = cut(score(t, counts))
         bad = verdicts(first, chain_shares(first)).select("src", "row_id")
-        counts = models(bigram_counts(t.join(bad, ["src", "row_id"], "left_anti"), F.lit(1.0)))
+        counts = models(bigram_counts(t.join(bad, ["src", "row_id"], "left_anti"), trust=True))
     scored = cut(score(records, counts))
     return verdicts(scored, chain_shares(scored)), counts
 

@@ -88,14 +88,14 @@ def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that were read with an encoding other than the one written."""
-    bad, _ = find_damaged(encoded_texts(spark, sf_dir), index_texts(spark, sf_dir))
+    bad, _ = find_damaged(encoded_texts(spark, sf_dir))
     return bad.select("src", "row_id")
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged fields with the chain they went through and the text as originally written, where it can be restored."""
     records = encoded_texts(spark, sf_dir)
-    bad, counts = find_damaged(records, index_texts(spark, sf_dir))
+    bad, counts = find_damaged(records)
     # the damaged ones first, so that only their texts are moved to be told apart
     return repaired(records.where("text is not null").join(bad, ["src", "row_id"]).dropDuplicates(["src", "row_id"]), counts)
 
@@ -103,7 +103,8 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headwords and normalised headwords of text dictionaries that are not in the consistent form; encoding damage aside."""
     texts = index_texts(spark, sf_dir)
-    bad, _ = find_damaged(texts)
+    # learned from what p4_found learns from, so that the same rows are damaged
+    bad, _ = find_damaged(texts, encoded_texts(spark, sf_dir))
     kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select("dict_id").distinct()
     rows = table(spark, sf_dir, "mdx_index").join(F.broadcast(kinds), "dict_id", "left_semi").select("id", "text", "normalized")
     # other rows are no case: their text is its own form by its characters, and normalized follows from it
@@ -124,7 +125,7 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     Damage by a wrong encoding is put right first, where it can be.
     """
     texts = index_texts(spark, sf_dir)
-    bad, counts = find_damaged(texts)
+    bad, counts = find_damaged(texts, encoded_texts(spark, sf_dir))
     kinds = table(spark, sf_dir, "dict_header").where("kind = 'mdx'").select(F.col("dict_id").alias("source")).distinct()
     rows = cut(texts.join(F.broadcast(kinds), "source", "left_semi").join(bad, ["src", "row_id"], "left"))
     mended = repaired(rows.where("z is not null"), counts).select("row_id", F.col("restored").alias("text"))

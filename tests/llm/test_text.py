@@ -7,6 +7,7 @@ from lexloom.llm import charform as H
 from lexloom.llm import leaks as K
 from lexloom.llm import markup as M
 from lexloom.llm import mojibake as E
+from lexloom.llm import queries as Q
 
 # ---- consistent forms
 
@@ -90,6 +91,45 @@ def test_pooling(spark):
     assert E.find_damaged(df.limit(0))[0].count() == 0
 
 
+def test_models_learn_from_all_fields(spark, tmp_path):
+    """Letters that only bodies have, markup around them, tell damage in bodies and headwords; p3 leaves out what p4 finds."""
+    rnd = random.Random(5)
+    pl = ["męka", "ręka", "łąka", "wąż", "głęboki", "śnieg", "źródło", "książka", "pięć", "tęcza", "dąb", "sędzia"]
+    bodies, index = [], []
+    for s in ("a", "b", "c"):
+        for k in range(120):
+            n = k + 1000 * "abc".index(s)
+            w = rnd.choice(pl) + rnd.choice(["", "mi", "owy"])
+            bodies.append((n, s, f'<div class="x">[{k}] {w if s != "c" else w.encode("iso8859-2").decode("latin-1")}</div>'))
+            h = "stol" if s != "c" or k >= len(pl) else pl[k].encode("iso8859-2").decode("latin-1")
+            index.append((n, s, h, h))
+    titles = [(k, s, "mdx", "pl", "publisher", "tytul") for k, s in enumerate("abc")]
+    for name, rows, schema in (
+        ("aggregate_section", bodies, "section_id long, dict_id string, body string"), ("mdx_index", index, "id long, dict_id string, text string, normalized string"),
+        ("dict_header", titles, "header_id long, dict_id string, kind string, lang string, origin string, title string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r["src"], r["row_id"]) for r in Q.p4_found(spark, str(tmp_path)).collect()}
+    want = {("aggregate_section", n) for n, s, body in bodies if s == "c" and not body.isascii()} | {("mdx_index", n) for n, _, h, _ in index if not h.isascii()}
+    assert got == want
+    fixed = {r["id"]: r["text"] for r in Q.p3_forms(spark, str(tmp_path)).collect()}
+    assert [fixed[2000 + k] for k in range(len(pl))] == pl
+
+
+def test_trusted():
+    for word, lang, want in (
+        ("męka", "pl", True), ("/ˈkɛvuːz/", "en", True), ("/ˈkɛvuːz/", "ru", True), ("Пётр", "ru", True), ("word", "ru", False), ("[12]", "ru", True), ("_word_", "en", True),
+        ("grÃ¶ÃŸe", "de", False), ("freƒôrt", "en", False), ("/Ààgəðɔ/", "en", False), ("x²", "en", False), ("слово", "pl", False),
+    ):
+        assert E.trusted(word, lang) is want, (word, lang)
+
+
+def test_repair_takes_the_nearest_where_none_is_better():
+    lm = lambda word: {"mêka": -5.0, "męka": -5.5, "lêk": -5.0, "lęk": -9.0}.get(word, -1.0)
+    z = E.CHAINS.index((("iso8859-2", "cp1252"),))
+    assert E.repair("mêka", z, lm) == "męka" and E.repair("lêk mêka", z, lm) == "lêk męka"
+
+
 # ---- leaks
 
 ITEM = "At dawn 119 sleepless drummers woke Breadreaslo and demanded clumsy kites from old Houskeprar."
